@@ -6,21 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing
-from .common import read
+from . import language_id, line_dedup, packing, quality_rules, records, token_counts
+from .common import new_path, read
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), removed_col="lines_removed").select("doc_id", "text", "n_chars", "lines_removed")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a record, read back in shuffled order and held against its checksums."""
+    path = new_path(spark, "records")
+    index = records.write_records(read(spark, sf_dir, "documents"), path)
+    return records.read_records(spark, path, index, seed=1, ids=False).select("doc_id", "n_tokens", "length", "ok")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_binary_records": op8_binary_records,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL: dict[str, str] = {
