@@ -1,7 +1,7 @@
 """Token counts without tokens: batch encoding in Arrow functions that hand back lengths only.
 
-A text longer than `piece_chars` is cut at safe boundaries, where a run of white space begins after something
-else: every pre-tokenizer pattern of this kind starts a new piece there, so the count of the whole is exactly the sum of the counts
+A text longer than `piece_chars` is cut at safe boundaries, where a space or a line end follows something
+other than white space: every pre-tokenizer pattern of this kind starts a new piece there, so the count of the whole is exactly the sum of the counts
 of the parts.  The pieces of an Arrow batch are put into encoding batches of about equal bytes, longest first into the lightest batch, so that
 one long text neither holds up nor swells a batch.
 
@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE_CHARS = 1 << 16
 BATCH_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, n_bytes long"
-_SAFE = re.compile(r"(?<=\S)\s")
+_SAFE = re.compile(r"(?<=\S)[ \n]")
 _encoders: dict[str, tiktoken.Encoding] = {}
 
 
