@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, records, token_counts
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, records, token_counts, warc
 from .common import new_path, read
 
 
@@ -36,6 +36,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to compressed WARC files with noise between records, and salvaged."""
+    return warc.rehearse(read(spark, sf_dir, "pages"))
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a record, read back in shuffled order and held against its checksums."""
     path = new_path(spark, "records")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_binary_records": op8_binary_records,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
@@ -66,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": ngram_join.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op7_warc": warc.SQL,
 }
