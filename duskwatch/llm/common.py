@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
@@ -41,17 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of whole texts of about `size` characters, with the row at which each run begins."""
-    texts = batch.column(text).to_pylist()
-    begin = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > size:
-            yield begin, texts[begin:i]
-            begin, held = i, 0
-        held += n
-    if begin < len(texts):
-        yield begin, texts[begin:]
+    """Runs of whole texts of about `size` bytes, with the row at which each run begins.  Only one run at a time becomes Python objects."""
+    col = batch.column(text)
+    lens = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lens)
+    begin = 0
+    while begin < len(lens):
+        held = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, held + size, side="right")))
+        yield begin, col.slice(begin, stop - begin).to_pylist()
+        begin = stop
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -46,9 +46,9 @@ N = 3
 THRESHOLD = 0.5
 MOST_MATCHES = 4
 BACK = 5
-BUCKET_GRAMS = 1_500_000
-FLUSH_GRAMS = 2_500_000
-CHUNK_PAIRS = 2_000_000
+BUCKET_GRAMS = 1_000_000
+FLUSH_GRAMS = 1_000_000
+CHUNK_PAIRS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 _HEAD = np.dtype([("doc", "<i8"), ("n", "<u4"), ("m", "<u4"), ("need", "u1"), ("count", "<u4")])
 _LOW = np.uint64(0xFFFFFFFF)
@@ -80,11 +80,39 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
+def spark_hash(keys: np.ndarray) -> np.ndarray:
+    """The hash by which Spark partitions ints (Murmur3 with seed 42)."""
+    with np.errstate(over="ignore"):
+        k = keys.astype(np.uint32) * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def even_keys(parts: int) -> np.ndarray:
+    """For each of `parts` buckets a number that Spark hashes to a partition of its own."""
+    out = np.full(parts, -1, dtype=np.int64)
+    at, step = 0, max(1024, 4 * parts)
+    while (out < 0).any():
+        k = np.arange(at, at + step)[::-1]
+        where = spark_hash(k).astype(np.int64) % parts
+        new = np.full(parts, -1, dtype=np.int64)
+        new[where] = k  # the lowest, being last
+        out = np.where(out < 0, new, out)
+        at += step
+    return out
+
+
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows with the same first column, which come together; the rest of each as a tuple."""
+    """Rows with the same first column, which come together; the rest of each as a tuple, binary values as buffers that are not copied."""
     key, held = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        cols = [[v.as_buffer() if v.is_valid else None for v in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in b.columns]
+        for row in zip(*cols, strict=True):
             if held and row[0] != key:
                 yield key, held
                 held = []
@@ -95,6 +123,7 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
 
 
 def _grouped(df: DataFrame, parts: int, run: Callable, schema: str, key: str = "bucket") -> DataFrame:
+    """Rows by bucket, one bucket (numbered by `even_keys`) to a partition."""
     return df.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
@@ -118,6 +147,7 @@ def copies(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _gram_rows(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """Packed n-grams of (id, t) by bucket; rows without `toks` have the sizes of documents."""
     names, kinds = ["bucket", "ids", "counts", "toks"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    keys = even_keys(buckets)
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids = np.concatenate([h[0] for h in held])
@@ -131,13 +161,13 @@ def _gram_rows(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         edges = _runs(bucket)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             r = _runs(doc[a:b])
-            rows.append((int(bucket[a]), _delta(ids[doc[a:b][r[:-1]]]), np.diff(r).astype("<u4").tobytes(), tok[a:b].tobytes()))
+            rows.append((int(keys[int(bucket[a])]), _delta(ids[doc[a:b][r[:-1]]]), np.diff(r).astype("<u4").tobytes(), tok[a:b].tobytes()))
         home = (textops.mix64(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         edges = _runs(home[order])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = order[a:b]
-            rows.append((int(home[own[0]]), _delta(ids[own]), sizes[own].astype("<u4").tobytes(), None))
+            rows.append((int(keys[home[own[0]]]), _delta(ids[own]), sizes[own].astype("<u4").tobytes(), None))
         return _batch(rows, names, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +191,7 @@ def _gram_rows(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
 def _frequencies(rows: DataFrame, buckets: int, back: int) -> DataFrame:
     """From n-gram buckets to document buckets: the n-grams of more than one document with their document frequencies, and the sizes."""
+    keys = even_keys(back)
     names, kinds = ["bucket", "src", "ids", "counts", "toks", "dfs"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +200,7 @@ def _frequencies(rows: DataFrame, buckets: int, back: int) -> DataFrame:
             sized = [(_undelta(i), np.frombuffer(c, "<u4")) for i, c, t in got if t is None]
             if sized:
                 ids, sizes = (np.concatenate(x) for x in zip(*sized, strict=True))
-                for k, own in _split(ids, back):
+                for k, own in _split(ids, keys):
                     out.append((k, -1, _delta(ids[own]), sizes[own].tobytes(), None, None))
             some = [(np.repeat(_undelta(i), np.frombuffer(c, "<u4")), np.frombuffer(t, "<u4")) for i, c, t in got if t is not None]
             del got
@@ -194,7 +225,7 @@ def _frequencies(rows: DataFrame, buckets: int, back: int) -> DataFrame:
                 doc, tok, df = doc[order], tok[order], df[order].astype("<u4")
                 r = _runs(doc)
                 count = np.diff(r)
-                for k, own in _split(doc[r[:-1]], back):
+                for k, own in _split(doc[r[:-1]], keys):
                     pick = np.repeat(r[own] - np.concatenate([[0], np.cumsum(count[own])[:-1]]), count[own]) + np.arange(count[own].sum())
                     out.append((k, bucket, _delta(doc[r[own]]), count[own].astype("<u4").tobytes(), tok[pick].tobytes(), df[pick].tobytes()))
             if out:
@@ -203,9 +234,9 @@ def _frequencies(rows: DataFrame, buckets: int, back: int) -> DataFrame:
     return _grouped(rows, buckets, run, "bucket int, src int, ids binary, counts binary, toks binary, dfs binary")
 
 
-def _split(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Indices of ids by document bucket."""
-    k = (textops.mix64(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+def _split(ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Indices of ids by bucket."""
+    k = keys[(textops.mix64(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(len(keys))).astype(np.int64)]
     order = np.argsort(k, kind="stable")
     edges = _runs(k[order])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -235,6 +266,7 @@ def prefixes(doc: np.ndarray, tok: np.ndarray, df: np.ndarray, size: np.ndarray,
 
 def _choose(rows: DataFrame, back: int, buckets: int, threshold: float, most: int) -> DataFrame:
     """Sets (kind 0: doc, n, a) and prefix postings (kind 1: bucket, a, b, c)."""
+    keys = even_keys(buckets)
     names = ["kind", "bucket", "doc", "n", "a", "b", "c"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -270,7 +302,7 @@ def _choose(rows: DataFrame, back: int, buckets: int, threshold: float, most: in
                 for j in range(1, BACK + 1):
                     ok = step >= j
                     before[ok, j - 1] = mark[np.flatnonzero(ok) - j]
-                for k, pick in _split(t, buckets):
+                for k, pick in _split(t, keys):
                     r = _runs(who[pick])
                     d = own[who[pick[r[:-1]]]]
                     head = np.zeros(len(d), dtype=_HEAD)
