@@ -1,14 +1,615 @@
-"""The named detection queries and their SQL."""
+"""The named detection queries over the test tables, and the SQL that DuckDB runs for each.
+
+A name begins with what it shows: src, nrm, enr, mod, sig, ioc, yara, ecs, rsp, stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import ecs, enrich, explain, indicators, normalize, response, yara
+from ..operators.sigma import RuleSet, compile_rule
+from ..sources import indicators as ind
+from ..sources.rules import Catalogue, add, to_rule
+from ..streaming import flows
+from . import views as V
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+T = f"WITH t AS ({V.duck(V.TELEMETRY)}) "
+R = f"WITH r AS ({V.duck(V.RAW)}) "
+L = f"WITH l AS ({V.duck(V.LIFE)}) "
+K = f"WITH c AS ({V.duck(V.CONNECTIONS)}) "
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IP4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.events_view(spark, sf_dir, V.RAW)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# ---------------------------------------------------------------- sources and normalization
+
+_CATEGORY = "CASE provider WHEN 'kernel-process' THEN CASE opcode WHEN 1 THEN 'Process' WHEN 2 THEN 'Process' WHEN 10 THEN 'ImageLoad' END WHEN 'kernel-file' THEN 'File' WHEN 'kernel-registry' THEN 'Registry' WHEN 'kernel-network' THEN 'Network' WHEN 'dns-client' THEN 'Dns' WHEN 'powershell' THEN 'Scripting' WHEN 'wmi-activity' THEN 'Wmi' WHEN 'service-control-manager' THEN 'Service' WHEN 'task-scheduler' THEN 'Task' END"
+
+
+@query("src_provider_filter", R + "SELECT seq, provider FROM r WHERE level <= 4 AND provider <> 'unknown' AND (provider <> 'kernel-file' OR (keywords & 3760) <> 0) AND (provider <> 'kernel-registry' OR (keywords & 61440) <> 0) AND (provider <> 'kernel-process' OR (keywords & 80) <> 0) AND (provider <> 'kernel-network' OR (keywords & 48) <> 0)")
+def _(spark, sf_dir):
+    return normalize.wanted(raw(spark, sf_dir)).select("seq", "provider")
+
+
+@query("src_route_noise_filter", R + f"SELECT seq, category FROM (SELECT *, {_CATEGORY} AS category FROM r) WHERE category IS NOT NULL AND NOT (category = 'Network' AND event_id IN (10, 11))")
+def _(spark, sf_dir):
+    return normalize.route(raw(spark, sf_dir)).select("seq", "category")
+
+
+@query("src_snapshot_seeds", L + "SELECT pid, Image, seq FROM (SELECT pid, Image, seq FROM l WHERE kind = 'start' UNION ALL SELECT DISTINCT ppid, 'snapshot.exe', CAST(-1 AS BIGINT) FROM l WHERE kind = 'probe')")
+def _(spark, sf_dir):
+    life = V.events_view(spark, sf_dir, V.LIFE)
+    return flows.with_snapshot(life.where("kind = 'start'").select("pid", "Image", "seq"), life.where("kind = 'probe'").select(F.col("ppid").alias("pid")).distinct().withColumn("Image", F.lit("snapshot.exe")), -1)
+
+
+@query("nrm_event_id_map", R + f"SELECT seq, CAST(CASE WHEN category = 'Process' AND opcode = 1 THEN 1 WHEN category = 'Process' AND opcode = 2 THEN 5 WHEN category = 'ImageLoad' THEN 7 WHEN category = 'File' AND opcode IN (64, 65) THEN 11 WHEN category = 'File' AND opcode IN (70, 72) THEN 23 WHEN category = 'Registry' AND opcode IN (36, 38, 41) THEN 12 WHEN category = 'Registry' AND opcode = 39 THEN 13 WHEN category = 'Network' AND opcode IN (12, 15) THEN 3 WHEN category = 'Dns' THEN 22 WHEN category = 'Wmi' THEN 19 WHEN category = 'Scripting' THEN 4104 WHEN category = 'Service' THEN 7045 WHEN category = 'Task' THEN 106 ELSE event_id END AS INT) AS mapped FROM (SELECT *, {_CATEGORY} AS category FROM r) WHERE category IS NOT NULL AND NOT (category = 'Network' AND event_id IN (10, 11))")
+def _(spark, sf_dir):
+    return normalize.route(raw(spark, sf_dir)).select("seq", normalize.mapped_event_id().cast("int").alias("mapped"))
+
+
+@query("nrm_port_swap", R + "SELECT seq, ((port_raw & 255) << 8) | ((port_raw >> 8) & 255) AS port FROM r")
+def _(spark, sf_dir):
+    return raw(spark, sf_dir).select("seq", C.port_swap(F.col("port_raw")).alias("port"))
+
+
+@query("nrm_ip_render", R + "SELECT seq, CAST((ip_raw >> 24) & 255 AS VARCHAR) || '.' || CAST((ip_raw >> 16) & 255 AS VARCHAR) || '.' || CAST((ip_raw >> 8) & 255 AS VARCHAR) || '.' || CAST(ip_raw & 255 AS VARCHAR) AS ip FROM r")
+def _(spark, sf_dir):
+    return raw(spark, sf_dir).select("seq", C.ipv4_text(F.col("ip_raw")).alias("ip"))
+
+
+@query("nrm_filetime", R + "SELECT seq, strftime(make_timestamp((greatest(filetime, 116444736000000000) - 116444736000000000) // 10000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM r")
+def _(spark, sf_dir):
+    return raw(spark, sf_dir).select("seq", C.filetime(F.col("filetime")).alias("ts"))
+
+
+_DRIVES = {"\\Device\\HarddiskVolume1": "C:", "\\Device\\HarddiskVolume12": "E:"}
+
+
+@query("nrm_nt_to_dos", R + "SELECT seq, CASE WHEN starts_with(nt_path, '\\Device\\HarddiskVolume12\\') THEN 'E:' || substr(nt_path, 25) WHEN starts_with(nt_path, '\\Device\\HarddiskVolume1\\') THEN 'C:' || substr(nt_path, 24) ELSE nt_path END AS path FROM r")
+def _(spark, sf_dir):
+    return raw(spark, sf_dir).select("seq", normalize.dos_path(F.col("nt_path"), _DRIVES).alias("path"))
+
+
+@query("nrm_sid_resolve", R + "SELECT seq, CASE sid WHEN 'S-1-5-18' THEN 'NT AUTHORITY\\SYSTEM' WHEN 'S-1-5-19' THEN 'NT AUTHORITY\\LOCAL SERVICE' WHEN 'S-1-5-21-7' THEN 'CORP\\svc' ELSE sid END AS account FROM r")
+def _(spark, sf_dir):
+    return raw(spark, sf_dir).select("seq", normalize.resolve_sid(F.col("sid"), {"S-1-5-21-7": "CORP\\svc"}).alias("account"))
+
+
+@query("nrm_sid_directory", T + "SELECT seq, CASE WHEN category IN ('Process', 'File', 'Registry') AND User = 'S-1-5-18' THEN 'NT AUTHORITY\\SYSTEM' ELSE User END AS account FROM t")
+def _(spark, sf_dir):
+    d = spark.createDataFrame(list(normalize.WELL_KNOWN_SIDS.items()), "sid string, account string")
+    return normalize.with_accounts(V.telemetry(spark, sf_dir), d).select("seq", F.col("User").alias("account"))
+
+
+@query("nrm_file_metadata", T + "SELECT seq, coalesce(OriginalFileName, CASE WHEN lower(CASE WHEN category = 'Process' THEN Image WHEN category = 'ImageLoad' THEN ImageLoaded END) LIKE 'd:%' THEN 'tool-' || lower(CASE WHEN category = 'Process' THEN Image ELSE ImageLoaded END) END) AS original FROM t WHERE category IN ('Process', 'ImageLoad')")
+def _(spark, sf_dir):
+    t = V.telemetry(spark, sf_dir).where("category IN ('Process', 'ImageLoad')")
+    path = F.when(F.col("category") == "Process", F.col("Image")).otherwise(F.col("ImageLoaded"))
+    files = t.select(F.lower(path).alias("path")).where("path LIKE 'd:%'").distinct().select("path", F.concat(F.lit("tool-"), "path").alias("OriginalFileName"), F.lit("P").alias("Product"), F.lit("D").alias("Description"))
+    return normalize.with_file_metadata(t, files).select("seq", F.col("OriginalFileName").alias("original"))
+
+
+@query("nrm_normalize", R + f"""SELECT seq, category, CASE WHEN category = 'Process' THEN 'a.exe' END AS Image, CASE WHEN category IN ('Process', 'Network') THEN CAST(header_pid AS VARCHAR) END AS ProcessId,
+  CASE WHEN category = 'Network' THEN CAST((ip_raw >> 24) & 255 AS VARCHAR) || '.' || CAST((ip_raw >> 16) & 255 AS VARCHAR) || '.' || CAST((ip_raw >> 8) & 255 AS VARCHAR) || '.' || CAST(ip_raw & 255 AS VARCHAR) END AS DestinationIp,
+  CASE WHEN category = 'Network' THEN CAST(((port_raw & 255) << 8) | ((port_raw >> 8) & 255) AS VARCHAR) END AS DestinationPort
+  FROM (SELECT *, {_CATEGORY} AS category FROM r) WHERE category IS NOT NULL AND NOT (category = 'Network' AND event_id IN (10, 11)) AND NOT (category = 'Process' AND opcode = 2)
+  AND level <= 4 AND (provider <> 'kernel-file' OR (keywords & 3760) <> 0) AND (provider <> 'kernel-registry' OR (keywords & 61440) <> 0) AND (provider <> 'kernel-process' OR (keywords & 80) <> 0) AND (provider <> 'kernel-network' OR (keywords & 48) <> 0)""")
+def _(spark, sf_dir):
+    net = F.col("provider") == "kernel-network"
+    props = F.create_map(F.lit("ImageFileName"), F.when(F.col("provider") == "kernel-process", F.concat(F.lit("a.exe"), F.char(F.lit(0)))), F.lit("daddr"), F.when(net, F.col("ip_raw").cast("string")), F.lit("dport"), F.when(net, F.col("port_raw").cast("string")))
+    return normalize.normalize(raw(spark, sf_dir).withColumn("props", props)).select("seq", "category", "Image", "ProcessId", "DestinationIp", "DestinationPort")
+
+
+# ---------------------------------------------------------------- field matchers
+
+_MODS: list[tuple[str, str, str, str]] = [
+    ("mod_exact_ci", "process_creation", "{User: 'corp\\ALICE'}", "lower(User) = 'corp\\alice'"),
+    ("mod_cased", "process_creation", "{CommandLine|contains|cased: PowerShell}", "contains(CommandLine, 'PowerShell')"),
+    ("mod_contains", "process_creation", "{CommandLine|contains: ['ALL', enc]}", "contains(lower(CommandLine), 'all') OR contains(lower(CommandLine), 'enc')"),
+    ("mod_startswith", "file_event", "{TargetFilename|startswith: 'c:\\windows'}", "starts_with(lower(TargetFilename), 'c:\\windows')"),
+    ("mod_endswith", "process_creation", "{Image|endswith: ['\\whoami.exe', '\\CMD.EXE']}", "lower(Image) LIKE '%\\whoami.exe' OR lower(Image) LIKE '%\\cmd.exe'"),
+    ("mod_wildcard", "process_creation", "{CommandLine: 'cmd*del \\*.t?p'}", "regexp_matches(CommandLine, '(?i)^cmd.*del \\*\\.t.p$')"),
+    ("mod_all", "process_creation", "{CommandLine|contains|all: [foo, bar]}", "contains(lower(CommandLine), 'foo') AND contains(lower(CommandLine), 'bar')"),
+    ("mod_regex_flags", "process_creation", "{CommandLine|re|i: '^(power|cmd).*(enc|del)'}", "regexp_matches(CommandLine, '(?i)^(power|cmd).*(enc|del)')"),
+    ("mod_regex_anchor", "process_creation", "{CommandLine|re: 'exe$'}", "regexp_matches(CommandLine, 'exe$')"),
+    ("mod_regex_refused", "process_creation", "{CommandLine|re: '(?=exe)exe'}", "false"),
+    ("mod_windash", "process_creation", "{CommandLine|windash|contains: 'notepad.exe -NoProfile foo'}", "regexp_matches(CommandLine, '(?i)^notepad\\.exe [-/–—―]NoProfile foo$')"),
+    ("mod_fieldref", "process_creation", "{CommandLine|fieldref: OriginalFileName}", "lower(CommandLine) = lower(OriginalFileName)"),
+    ("mod_exists", "process_creation", "{OriginalFileName|exists: false}", "OriginalFileName IS NULL"),
+    ("mod_cidr", "network_connection", "{DestinationIp|cidr: ['10.1.0.0/16', '10.2.64.0/18']}", f"regexp_matches(DestinationIp, '{IP4}') AND (starts_with(DestinationIp, '10.1.') OR (starts_with(DestinationIp, '10.2.') AND TRY_CAST(split_part(DestinationIp, '.', 3) AS INT) BETWEEN 64 AND 127))"),
+    ("mod_cidr_v6", "network_connection", "{DestinationIp|cidr: '2001:db8::/126'}", "DestinationIp IN ('2001:db8::0', '2001:db8::1', '2001:db8::2', '2001:db8::3')"),
+    ("mod_numeric", "network_connection", "{DestinationPort|gte: 443, SourcePort|lt: '49200.5'}", "CAST(DestinationPort AS DOUBLE) >= 443 AND CAST(SourcePort AS DOUBLE) < 49200.5"),
+    ("mod_numeric_text", "process_creation", "{ProcessId|gt: 300}", "TRY_CAST(CASE WHEN ProcessId NOT LIKE '0x%' THEN ProcessId END AS DOUBLE) > 300"),
+    ("mod_base64", "process_creation", '{CommandLine|base64|contains: "I\\0E"}', "contains(lower(CommandLine), lower('SQBF'))"),
+    ("mod_base64offset", "process_creation", '{CommandLine|base64offset|contains: "xx\\0X\\0"}', "contains(lower(CommandLine), lower('AFgA'))"),
+    ("mod_wide", "process_creation", "{CommandLine|wide|base64|contains: IEX}", "contains(lower(CommandLine), lower('SQBFAFgA'))"),
+    ("mod_null", "process_creation", "{ProcessId: null}", "ProcessId IS NULL"),
+    ("mod_empty", "process_creation", "{OriginalFileName: ''}", "OriginalFileName IS NOT NULL"),
+    ("mod_number", "network_connection", "{DestinationPort|contains: 443}", "DestinationPort = '443'"),
+    ("mod_bool", "image_load", "{Signed: true}", "false"),
+    ("mod_event_id", "file_event", "{EventID: 11}", "event_id = 11"),
+    ("mod_foreign_field", "process_creation", "{QueryName: null, Image|contains: cmd}", "contains(lower(Image), 'cmd')"),
+]
+
+
+def compiled(category: str, detection: str | dict, **more):
+    d = yaml.safe_load(detection) if isinstance(detection, str) else detection
+    if "condition" not in d and not all(isinstance(v, (dict, list)) for v in d.values()):
+        d = {"s": d}
+    return compile_rule(to_rule({"title": more.pop("title", "r"), "logsource": {"category": category}, "detection": d, **more}))
+
+
+def _detects(category: str, detection: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = {"s": yaml.safe_load(detection)}
+        return RuleSet([compiled(category, d)]).match(V.telemetry(spark, sf_dir)).select("seq")
+
+    return run
+
+
+_BUCKET = {"process_creation": "Process", "file_event": "File", "network_connection": "Network", "image_load": "ImageLoad", "ps_script": "Scripting", "registry_event": "Registry", "dns_query": "Dns"}
+for _name, _cat, _yaml, _cond in _MODS:
+    QUERIES[_name] = _detects(_cat, _yaml)
+    SQL[_name] = T + f"SELECT seq FROM t WHERE category = '{_BUCKET[_cat]}' AND coalesce({_cond}, false)"
+
+# ---------------------------------------------------------------- rules
+
+_A = "{img: {Image|endswith: '\\cmd.exe'}, sel_a: {CommandLine|contains: foo}, sel_b: {IntegrityLevel: High}, condition: '%s'}"
+_IMG, _SA, _SB = "coalesce(lower(Image) LIKE '%\\cmd.exe', false)", "coalesce(contains(lower(CommandLine), 'foo'), false)", "coalesce(lower(IntegrityLevel) = 'high', false)"
+_SIGS: list[tuple[str, str, str, str]] = [
+    ("sig_keywords", "process_creation", "{k: ['*whoami*', high]}", "regexp_matches(coalesce(Image, ''), '(?i)^.*whoami.*$') OR regexp_matches(coalesce(CommandLine, ''), '(?i)^.*whoami.*$') OR coalesce(regexp_matches(OriginalFileName, '(?i)^.*whoami.*$'), false) OR coalesce(lower(IntegrityLevel) = 'high', false)"),
+    ("sig_list_of_maps", "process_creation", "{s: [{Image|endswith: '\\cmd.exe', IntegrityLevel: High}, {CommandLine|contains: foo}]}", f"({_IMG} AND {_SB}) OR {_SA}"),
+    ("sig_mixed_list", "process_creation", "{s: [medium, {CommandLine|contains: foo}]}", f"coalesce(lower(IntegrityLevel) = 'medium', false) OR {_SA}"),
+    ("sig_empty_selection", "process_creation", "{s: {}, condition: s}", "false"),
+    ("sig_condition_not", "process_creation", _A % "(img or sel_a) and not sel_b", f"({_IMG} OR {_SA}) AND NOT {_SB}"),
+    ("sig_condition_precedence", "process_creation", _A % "img or sel_a AND NOT sel_b", f"{_IMG} OR ({_SA} AND NOT {_SB})"),
+    ("sig_1_of_them", "process_creation", _A % "1 of them", f"{_IMG} OR {_SA} OR {_SB}"),
+    ("sig_all_of_them", "process_creation", _A % "all of them", f"{_IMG} AND {_SA} AND {_SB}"),
+    ("sig_1_of_prefix", "process_creation", _A % "1 of sel_*", f"{_SA} OR {_SB}"),
+    ("sig_all_of_prefix", "process_creation", _A % "not all of sel_*", f"NOT ({_SA} AND {_SB})"),
+    ("sig_no_condition", "process_creation", "{a: {CommandLine|contains: foo}, b: {IntegrityLevel: High}}", f"{_SA} OR {_SB}"),
+    ("sig_unknown_selection", "process_creation", _A % "img or nowhere", "false"),
+    ("sig_timeframe_is_false", "process_creation", "{a: {IntegrityLevel: High}, timeframe: 5m, condition: all of them}", "false"),
+]
+
+
+def _rule_query(category: str, detection: str) -> Query:
+    return lambda spark, sf_dir: RuleSet([compiled(category, yaml.safe_load(detection))]).match(V.telemetry(spark, sf_dir)).select("seq")
+
+
+for _name, _cat, _yaml, _cond in _SIGS:
+    QUERIES[_name] = _rule_query(_cat, _yaml)
+    SQL[_name] = T + f"SELECT seq FROM t WHERE category = '{_BUCKET[_cat]}' AND ({_cond})"
+
+#: (title, level, logsource category, detection, SQL predicate) in file order
+RULES: list[tuple[str, str, str, str, str]] = [
+    ("whoami", "low", "process_creation", "{i: {Image|endswith: '\\whoami.exe'}, c: {CommandLine|contains: ' /all'}, condition: i and c}", "category = 'Process' AND coalesce(lower(Image) LIKE '%\\whoami.exe' AND contains(lower(CommandLine), ' /all'), false)"),
+    ("high cmd", "high", "process_creation", "{s: {IntegrityLevel: High, Image|endswith: '\\cmd.exe'}}", "category = 'Process' AND coalesce(lower(IntegrityLevel) = 'high' AND lower(Image) LIKE '%\\cmd.exe', false)"),
+    ("any foo", "Medium", "process_creation", "{s: {CommandLine|contains: foo}}", "category = 'Process' AND coalesce(contains(lower(CommandLine), 'foo'), false)"),
+    ("script drop", "medium", "file_create", "{s: {TargetFilename|endswith: .ps1}}", "category = 'File' AND opcode IN (64, 65) AND coalesce(lower(TargetFilename) LIKE '%.ps1', false)"),
+    ("any file", "low", "file_event", "{s: {TargetFilename|contains: report1}}", "category = 'File' AND coalesce(contains(lower(TargetFilename), 'report1'), false)"),
+    ("run key", "critical", "registry_set", "{s: {TargetObject|contains: '\\run'}}", "category = 'Registry' AND opcode = 39 AND coalesce(contains(lower(TargetObject), '\\run'), false)"),
+    ("evil lookup", "high", "dns_query", "{s: {QueryName|endswith: .evil.test}}", "category = 'Dns' AND coalesce(lower(QueryName) LIKE '%.evil.test', false)"),
+    ("odd port", "low", "network_connection", "{s: {DestinationPort|gt: 8000}}", "category = 'Network' AND CAST(DestinationPort AS DOUBLE) > 8000"),
+]
+_ORDER = [0, 1, 2, 4, 6, 7, 3, 5]  # generic buckets before those for some opcodes
+_SEVERITY = {"low": "Low", "medium": "Medium", "high": "High", "critical": "Critical"}
+
+
+def rule_set() -> RuleSet:
+    out = []
+    for i, (title, level, category, detection, _) in enumerate(RULES):
+        c = compiled(category, yaml.safe_load(detection), title=title, level=level, description=f"finds {title}")
+        c.rule.index = i
+        out.append(c)
+    return RuleSet(out)
+
+
+_FIRST = "CASE " + " ".join(f"WHEN {RULES[i][4]} THEN '{RULES[i][0]}'" for i in _ORDER) + " END"
+_LEVEL = "CASE rule_name " + " ".join(f"WHEN '{r[0]}' THEN '{_SEVERITY.get(r[1], 'Low')}'" for r in RULES) + " END"
+
+
+@query("sig_first_match", T + f"SELECT * FROM (SELECT seq, {_FIRST} AS rule_name FROM t) WHERE rule_name IS NOT NULL")
+def _(spark, sf_dir):
+    return rule_set().alerts(V.telemetry(spark, sf_dir)).select("seq", "rule_name")
+
+
+@query("sig_all_matches", T + " UNION ALL ".join(f"SELECT seq, '{r[0]}' AS rule_name FROM t WHERE {r[4]}" for r in RULES))
+def _(spark, sf_dir):
+    return rule_set().alerts(V.telemetry(spark, sf_dir), every=True).select("seq", "rule_name")
+
+
+@query("sig_severity_rollup", T + f"SELECT severity, rule_name, count(*) AS alerts FROM (SELECT rule_name, {_LEVEL} AS severity FROM (SELECT {_FIRST} AS rule_name FROM t) WHERE rule_name IS NOT NULL) GROUP BY ALL")
+def _(spark, sf_dir):
+    return rule_set().alerts(V.telemetry(spark, sf_dir)).groupBy("severity", "rule_name").agg(F.count("*").alias("alerts"))
+
+
+_FILES = {
+    "a.yml": "title: a\nlogsource: {category: process_creation, product: windows}\ndetection: {s: {Image: x}, condition: s}\n",
+    "b.yml": "title: b\nlogsource: {category: process_creation, product: linux}\ndetection: {s: {Image: x}, condition: s}\n",
+    "c.yml": "title: c\nlogsource: {category: process_tampering}\ndetection: {s: {Image: x}, condition: s}\n",
+    "d.yml": "title: d\nlogsource: {category: dns_query, service: cloudtrail}\ndetection: {s: {QueryName: x}, condition: s}\n",
+    "e.yml": "title: e\nlogsource: {category: dns_query}\ndetection: {s: {QueryName: x}, condition: s and}\n",
+    "f.yml": "action: global\ntitle: f\nlevel: high\n---\nlogsource: {category: file_event}\ndetection: {s: {TargetFilename: x}}\n---\nlogsource: {category: process_creation}\ndetection: {s: {Image: y}}\n",
+}
+
+
+@query("sig_catalog_stats", "SELECT * FROM (VALUES ('total', 3), ('category:process_creation', 2), ('category:file_event', 1), ('failed', 1), ('skipped:category', 1), ('skipped:product', 1), ('skipped:service', 1)) v(what, n)")
+def _(spark, sf_dir):
+    cat = Catalogue()
+    for name, text in _FILES.items():
+        add(cat, text, name, compile_rule)
+    return spark.createDataFrame(cat.stats(), "what string, n int")
+
+
+@query("sig_logsource_report", "SELECT * FROM (VALUES ('category', 1), ('product-only', 1), ('service-only', 1), ('empty', 1)) v(kind, n)")
+def _(spark, sf_dir):
+    sources = [{"category": "dns_query"}, {"product": "windows"}, {"service": "sysmon"}, {}]
+    df = spark.createDataFrame([(s.get("category"), s.get("product"), s.get("service")) for s in sources], "category string, product string, service string")
+    kind = F.when(F.col("category").isNotNull(), "category").when(F.col("product").isNotNull() & F.col("service").isNull(), "product-only").when(F.col("service").isNotNull() & F.col("product").isNull(), "service-only").when(F.col("service").isNotNull(), "product+service").otherwise("empty")
+    return df.groupBy(kind.alias("kind")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("sig_match_explain", T + """SELECT seq, 'condition matched: i and c; c matched CommandLine contains '' /all'' with value ''' || CommandLine || '''' AS summary, 2 AS matched FROM t
+  WHERE category = 'Process' AND coalesce(lower(Image) LIKE '%\\whoami.exe' AND contains(lower(CommandLine), ' /all'), false)""")
+def _(spark, sf_dir):
+    rules = RuleSet([compiled("process_creation", yaml.safe_load(RULES[0][3]))])
+    got = explain.explain(rules.alerts(V.telemetry(spark, sf_dir)), rules, "full")
+    return got.select("seq", "match.summary", F.size("match.matches").alias("matched"))
+
+
+@query("sig_keyword_explain", T + """SELECT seq, 'k keyword exact ''high'' in IntegrityLevel' AS summary, 'IntegrityLevel' AS field FROM t WHERE category = 'Process' AND lower(IntegrityLevel) = 'high'""")
+def _(spark, sf_dir):
+    rules = RuleSet([compiled("process_creation", {"k": ["high"]})])
+    got = explain.explain(rules.alerts(V.telemetry(spark, sf_dir)), rules, "summary")
+    return got.select("seq", "match.summary", F.col("match.keyword_matches")[0]["field"].alias("field"))
+
+
+# ---------------------------------------------------------------- indicators
+
+
+def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.concat(F.lit("C:\\docs\\"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.col("text").cast("binary").alias("content"), "doc_id")
+
+
+def _hash_query(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = _doc_files(spark, sf_dir)
+        digest = {"md5": F.md5("text"), "sha1": F.sha1("text"), "sha256": F.sha2("text", 256)}[kind]
+        # the list is as long as the label table says: a table, so it is joined as one
+        listed = documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(digest.alias("key")).distinct()
+        own = {"md5": F.md5("content"), "sha1": F.sha1("content"), "sha256": F.sha2("content", 256)}[kind]
+        return files.select("doc_id", own.alias("observed")).join(listed, F.col("observed") == F.col("key"), "left_semi").select("doc_id", F.concat(F.lit(f"ioc:{kind}:"), "observed").alias("rule_name"))
+
+    return run
+
+
+for _k, _f in (("md5", "md5(text)"), ("sha1", "sha1(text)"), ("sha256", "sha256(text)")):
+    QUERIES[f"ioc_hash_{_k}"] = _hash_query(_k)
+    SQL[f"ioc_hash_{_k}"] = f"SELECT doc_id, 'ioc:{_k}:' || {_f} AS rule_name FROM documents WHERE {_f} IN (SELECT {_f} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+
+_LIST = ind.Indicators(
+    ind.ips("10.1.7.9;one\n192.0.2.10\n10.2.0.0/16;net\n10.3.64.0/18\n2001:db8::/127;six\n", "ips.txt")
+    + ind.domains("example.org;plain\nhost3.example.com\n*.example.net;below\n.evil.test\n# nothing\n", "domains.txt")
+    + ind.paths("\\\\whoami\\.exe$;who\nreport1[0-9]\\.ps1\nEVIL\\.dll\n", "paths.txt")
+)
+_HOST = "rtrim(lower(trim(CASE WHEN category = 'Dns' THEN QueryName WHEN category IN ('Network', 'Wmi') THEN DestinationHostname END)), '.')"
+
+
+@query("ioc_domain_exact", T + f"SELECT seq, host AS observed, 'ioc:domain:' || host AS rule_name FROM (SELECT seq, {_HOST} AS host FROM t) WHERE host IN ('example.org', 'host3.example.com')")
+def _(spark, sf_dir):
+    only = ind.Indicators(_LIST.of("domain"))
+    return indicators.alert_columns(indicators.match_domains(V.telemetry(spark, sf_dir), only)).select("seq", "observed", "rule_name")
+
+
+@query("ioc_domain_suffix", T + f"SELECT seq, host AS observed, 'ioc:domain:.' || s AS rule_name FROM (SELECT seq, {_HOST} AS host FROM t), (VALUES ('example.net'), ('evil.test')) v(s) WHERE host = s OR host LIKE '%.' || s")
+def _(spark, sf_dir):
+    only = ind.Indicators(_LIST.of("suffix"))
+    return indicators.alert_columns(indicators.match_domains(V.telemetry(spark, sf_dir), only)).select("seq", "observed", "rule_name")
+
+
+_IPS = "SELECT seq, unnest(list_distinct(list_filter(CASE WHEN category = 'Network' THEN [DestinationIp, SourceIp] WHEN category = 'Dns' THEN regexp_split_to_array(QueryResults, '[\\s,;]+') ELSE [] END, lambda x: x IS NOT NULL AND x <> ''))) AS observed FROM t"
+
+
+@query("ioc_ip_exact", T + f"SELECT seq, observed, 'ioc:ip:' || observed AS rule_name FROM ({_IPS}) WHERE observed IN ('10.1.7.9', '192.0.2.10')")
+def _(spark, sf_dir):
+    only = ind.Indicators(_LIST.of("ip"))
+    return indicators.alert_columns(indicators.match_ips(V.telemetry(spark, sf_dir), only)).select("seq", "observed", "rule_name")
+
+
+@query("ioc_cidr", T + f"SELECT seq, observed, 'ioc:ip:' || CASE WHEN starts_with(observed, '10.2.') THEN '10.2.0.0/16' WHEN contains(observed, ':') THEN '2001:db8::/127' ELSE '10.3.64.0/18' END AS rule_name FROM ({_IPS}) WHERE (regexp_matches(observed, '{IP4}') AND (starts_with(observed, '10.2.') OR (starts_with(observed, '10.3.') AND TRY_CAST(split_part(observed, '.', 3) AS INT) BETWEEN 64 AND 127))) OR observed IN ('2001:db8::0', '2001:db8::1')")
+def _(spark, sf_dir):
+    only = ind.Indicators(_LIST.of("cidr"))
+    return indicators.alert_columns(indicators.match_ips(V.telemetry(spark, sf_dir), only)).select("seq", "observed", "rule_name")
+
+
+_PATHS = "SELECT seq, CASE category WHEN 'Process' THEN Image WHEN 'File' THEN TargetFilename WHEN 'ImageLoad' THEN ImageLoaded WHEN 'Scripting' THEN Path WHEN 'Service' THEN ServiceFileName END AS observed FROM t"
+
+
+@query("ioc_path_regex", T + f"SELECT seq, p AS indicator, observed FROM ({_PATHS}), (VALUES ('\\\\whoami\\.exe$'), ('report1[0-9]\\.ps1'), ('EVIL\\.dll')) v(p) WHERE regexp_matches(observed, '(?i)' || p)")
+def _(spark, sf_dir):
+    return indicators.match_paths(V.telemetry(spark, sf_dir), _LIST).select("seq", "indicator", "observed")
+
+
+@query("ioc_union_dedup", T + f"""SELECT kind, count(*) AS alerts, min(severity) AS severity FROM (
+  SELECT 'domain' AS kind, 'High' AS severity FROM (SELECT {_HOST} AS host FROM t), (VALUES ('example.org', false), ('host3.example.com', false), ('example.net', true), ('evil.test', true)) v(s, below) WHERE host = s OR (below AND host LIKE '%.' || s)
+  UNION ALL SELECT 'ip', 'High' FROM ({_IPS}) WHERE observed IN ('10.1.7.9', '192.0.2.10')
+  UNION ALL SELECT 'ip', 'High' FROM ({_IPS}) WHERE (regexp_matches(observed, '{IP4}') AND (starts_with(observed, '10.2.') OR (starts_with(observed, '10.3.') AND TRY_CAST(split_part(observed, '.', 3) AS INT) BETWEEN 64 AND 127))) OR observed IN ('2001:db8::0', '2001:db8::1')
+  UNION ALL SELECT 'path_regex', 'High' FROM ({_PATHS}), (VALUES ('\\\\whoami\\.exe$'), ('report1[0-9]\\.ps1'), ('EVIL\\.dll')) v(p) WHERE regexp_matches(observed, '(?i)' || p)) GROUP BY kind""")
+def _(spark, sf_dir):
+    got = indicators.alert_columns(indicators.match_all(V.telemetry(spark, sf_dir), _LIST), "unheard of")
+    return got.groupBy("kind").agg(F.count("*").alias("alerts"), F.min("severity").alias("severity"))
+
+
+@query("ioc_descriptions", T + f"SELECT seq, coalesce(CASE host WHEN 'example.org' THEN 'plain | ' END, '') || 'source: domains.txt' AS rule_description FROM (SELECT seq, {_HOST} AS host FROM t) WHERE host IN ('example.org', 'host3.example.com') UNION ALL SELECT seq, CASE s WHEN 'example.net' THEN 'below | ' ELSE '' END || 'observed: ' || host || ' | source: domains.txt' FROM (SELECT seq, {_HOST} AS host FROM t), (VALUES ('example.net'), ('evil.test')) v(s) WHERE host = s OR host LIKE '%.' || s")
+def _(spark, sf_dir):
+    return indicators.alert_columns(indicators.match_domains(V.telemetry(spark, sf_dir), _LIST)).select("seq", "rule_description")
+
+
+@query("ioc_page_hosts", "SELECT page_id, host, 'ioc:domain:.example.net' AS rule_name FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) WHERE host = 'example.net' OR host LIKE '%.example.net'")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("QueryName"), F.lit("Dns").alias("category"), F.lit(None).cast("string").alias("DestinationHostname"))
+    only = ind.Indicators([i for i in _LIST.of("suffix") if i.value == "example.net"])
+    return indicators.alert_columns(indicators.match_domains(p, only)).select("page_id", F.col("observed").alias("host"), "rule_name")
+
+
+@query("ioc_stats", "SELECT * FROM (VALUES ('md5', 0), ('sha1', 0), ('sha256', 0), ('ip', 2), ('cidr', 3), ('domain', 2), ('suffix', 2), ('path_regex', 3)) v(kind, n)")
+def _(spark, sf_dir):
+    return spark.createDataFrame(_LIST.stats(), "kind string, n int")
+
+
+# ---------------------------------------------------------------- enrichment
+
+
+def _life(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    life = V.events_view(spark, sf_dir, V.LIFE)
+    return tuple(life.where(F.col("kind") == k) for k in ("probe", "start", "stop"))
+
+
+_ASOF = "(SELECT s.Image FROM l s WHERE s.kind = 'start' AND s.pid = p.{pid} AND s.seq <= p.seq ORDER BY s.seq DESC LIMIT 1)"
+_LIVE = """SELECT p.seq, p.pid, CASE WHEN x.seq IS NOT NULL AND (s.seq IS NULL OR s.seq < x.seq OR p.seq - s.seq <= 60) THEN x.Image END AS proc_Image
+  FROM (SELECT * FROM l WHERE kind = 'probe') p ASOF LEFT JOIN (SELECT * FROM l WHERE kind = 'start') x ON p.pid = x.pid AND p.seq >= x.seq ASOF LEFT JOIN (SELECT * FROM l WHERE kind = 'stop') s ON p.pid = s.pid AND p.seq > s.seq"""
+
+
+@query("enr_process_asof", L + _LIVE)
+def _(spark, sf_dir):
+    probes, starts, stops = _life(spark, sf_dir)
+    return enrich.asof_process(probes.select("seq", "pid"), starts, stops)
+
+
+@query("enr_process_exact", L + "SELECT p.seq, p.pid, s.Image FROM (SELECT seq, pid, k FROM l WHERE kind = 'probe') p LEFT JOIN (SELECT pid, seq % 100 AS created, max(Image) AS Image FROM l WHERE kind = 'start' GROUP BY ALL) s ON p.pid = s.pid AND p.k = s.created")
+def _(spark, sf_dir):
+    probes, starts, _ = _life(spark, sf_dir)
+    s = starts.groupBy("pid", (F.col("seq") % 100).alias("created")).agg(F.max("Image").alias("Image"))
+    return enrich.exact_process(probes.select("seq", "pid", F.col("k").alias("created")), s).select("seq", "pid", "Image")
+
+
+@query("enr_parent", L + """SELECT c.seq, c.pid, x.Image AS ParentImage FROM (SELECT * FROM l WHERE kind = 'start') c ASOF LEFT JOIN (SELECT * FROM l WHERE kind = 'start') x ON c.ppid = x.pid AND c.seq >= x.seq""")
+def _(spark, sf_dir):
+    _, starts, _ = _life(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return enrich.with_parents(starts.select("seq", "pid", "ppid", "Image", "CommandLine", none.alias("ParentImage"), none.alias("ParentCommandLine"))).select("seq", "pid", "ParentImage")
+
+
+def _telemetry_life(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Telemetry, and starts and stops with pids as headers have them."""
+    _, starts, stops = _life(spark, sf_dir)
+    t = V.telemetry(spark, sf_dir).withColumn("header_pid", F.col("header_pid").bitwiseAND(63))
+    return t, starts.select("seq", "pid", "Image", "CommandLine"), stops.select("seq", "pid", "Image", "CommandLine")
+
+
+_TL = f"WITH t AS (SELECT * REPLACE (header_pid & 63 AS header_pid) FROM ({V.duck(V.TELEMETRY)})), l AS ({V.duck(V.LIFE)}), s AS (SELECT * FROM l WHERE kind = 'start'), e AS (SELECT * FROM l WHERE kind = 'stop') "
+_ON = "(e.seq IS NULL OR e.seq < s.seq OR t.seq - e.seq <= 60)"
+
+
+@query("enr_image_backfill", _TL + f"SELECT t.seq, CASE WHEN category IN ('Registry', 'Network', 'Dns', 'Service', 'Task') THEN coalesce(t.Image, CASE WHEN {_ON} THEN s.Image END) ELSE t.Image END AS image FROM t ASOF LEFT JOIN s ON t.header_pid = s.pid AND t.seq >= s.seq ASOF LEFT JOIN e ON t.header_pid = e.pid AND t.seq > e.seq")
+def _(spark, sf_dir):
+    t, s, e = _telemetry_life(spark, sf_dir)
+    return enrich.back_fill_image(t, s, e).select("seq", F.col("Image").alias("image"))
+
+
+@query("enr_context_on_alerts", _TL + f"""SELECT t.seq, t.rule_name, CASE WHEN {_ON} THEN s.Image END AS context FROM (
+  SELECT *, CASE WHEN category <> 'Process' AND pid <> 0 THEN pid END AS key FROM (SELECT seq, category, {_FIRST} AS rule_name, coalesce(CASE WHEN ProcessId LIKE '0x%' THEN NULL ELSE CAST(ProcessId AS BIGINT) END, header_pid) AS pid FROM t) WHERE rule_name IS NOT NULL) t
+  ASOF LEFT JOIN s ON t.key = s.pid AND t.seq >= s.seq ASOF LEFT JOIN e ON t.key = e.pid AND t.seq > e.seq""")
+def _(spark, sf_dir):
+    t, s, e = _telemetry_life(spark, sf_dir)
+    return enrich.with_context(rule_set().alerts(t), s, e).select("seq", "rule_name", F.col("ctx_Image").alias("context"))
+
+
+@query("enr_dns_asof", f"WITH b AS ({V.duck(V.BASE)}) SELECT p.seq, p.ip, CASE WHEN p.seq - d.seq < 900 THEN d.h END AS asof_hostname FROM (SELECT seq, '10.0.0.' || CAST(u AS VARCHAR) AS ip FROM b WHERE et = 'click') p ASOF LEFT JOIN (SELECT seq, '10.0.0.' || CAST(u AS VARCHAR) AS ip, 'h' || CAST(k AS VARCHAR) AS h FROM b WHERE et = 'signup' AND u < 256) d ON p.ip = d.ip AND p.seq >= d.seq")
+def _(spark, sf_dir):
+    b = V.events_view(spark, sf_dir, V.BASE)
+    ip = F.concat(F.lit("10.0.0."), F.col("u").cast("string"))
+    cache = enrich.answers(b.where("et = 'signup'").select("seq", F.concat(F.lit("h"), F.col("k").cast("string")).alias("QueryName"), F.concat(F.lit("type: 1 "), ip, F.lit(";")).alias("QueryResults")))
+    return enrich.asof_dns(b.where("et = 'click'").select("seq", ip.alias("ip")), cache)
+
+
+_KEY = "image, dest_ip, dest_port, protocol"
+
+
+@query("enr_conn_first", K + f"SELECT seq, {_KEY} FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) AS n FROM c) WHERE n = 1")
+def _(spark, sf_dir):
+    return enrich.first_connections(V.events_view(spark, sf_dir, V.CONNECTIONS)).select("seq", "image", "dest_ip", "dest_port", "protocol")
+
+
+@query("enr_conn_stats", K + f"SELECT {_KEY}, min(seq) AS first_seen, max(seq) AS last_seen, count(*) AS connections, count(DISTINCT pid) AS pids FROM c GROUP BY {_KEY}")
+def _(spark, sf_dir):
+    return enrich.connection_stats(V.events_view(spark, sf_dir, V.CONNECTIONS))
+
+
+@query("enr_beacon_stddev", K + "SELECT image, CAST(sum(CASE WHEN d IS NOT NULL AND n <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS intervals, CASE WHEN sum(CASE WHEN d IS NOT NULL AND n <= 50 THEN 1 ELSE 0 END) >= 2 THEN round(stddev_pop(CASE WHEN n <= 50 THEN d END), 6) END AS stddev FROM (SELECT image, seq - lag(seq) OVER (PARTITION BY image ORDER BY seq) AS d, row_number() OVER (PARTITION BY image ORDER BY seq DESC) AS n FROM c) GROUP BY image")
+def _(spark, sf_dir):
+    return enrich.beacon_stddev(V.events_view(spark, sf_dir, V.CONNECTIONS), key=("image",)).withColumn("stddev", F.round("stddev", 6))
+
+
+@query("enr_rate_limit", K + """, o AS (SELECT image, seq, row_number() OVER (PARTITION BY image ORDER BY seq) AS i FROM c),
+  w AS (SELECT a.image, a.seq, a.i, (SELECT min(b.i) FROM o b WHERE b.image = a.image AND b.seq - a.seq >= 50) AS nxt FROM o a),
+  p AS MATERIALIZED (SELECT * FROM w), q AS (WITH RECURSIVE z AS (SELECT image, seq, i, nxt, CAST(0 AS BIGINT) AS suppressed FROM p WHERE i = 1 UNION ALL SELECT p.image, p.seq, p.i, p.nxt, p.i - z.i - 1 FROM z JOIN p ON p.image = z.image AND p.i = z.nxt) SELECT * FROM z)
+  SELECT image, seq, suppressed FROM q""")
+def _(spark, sf_dir):
+    return enrich.rate_limited(V.events_view(spark, sf_dir, V.CONNECTIONS), "image", "seq", 50)
+
+
+# ---------------------------------------------------------------- alert shape and response
+
+
+def _every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry as if each event were an alert: all branches of the projection."""
+    sev = F.element_at(F.array(*(F.lit(s) for s in ("Low", "Medium", "High", "Critical"))), (F.col("seq") % 4 + 1).cast("int"))
+    return V.telemetry(spark, sf_dir).withColumns({"rule_name": F.lit("r"), "rule_description": F.lit(None).cast("string"), "severity": sev, "engine": F.lit("Sigma")})
+
+
+def _ecs(columns: str, where: str = "true") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = ecs.project(_every_event(spark, sf_dir).where(where))
+        text = dict(got.dtypes)
+        return got.select("seq", *((F.array_join(f"`{c}`", ",") if text[c] == "array<string>" else F.col(f"`{c}`").cast("long") if text[c].startswith("decimal") else F.col(f"`{c}`")).alias(c.replace(".", "_").replace("@", "")) for c in columns.split()))
+
+    return run
+
+
+_BASE_SQL = r"nullif(regexp_extract(regexp_replace({0}, '^\"+|\"+$', '', 'g'), '([^\\/]*)$', 1), '')"
+_EXT_SQL = r"nullif(regexp_extract({0}, '\.([^.\\/]*)$', 1), '')"
+_ECS: list[tuple[str, str, str, str]] = [
+    ("ecs_event", "@timestamp ecs.version event.kind event.category event.type event.action event.code event.severity event.module event.dataset event.provider edr.rule.severity edr.rule.engine", "true", """timestamp, '9.3.0' AS ecs_version, 'alert' AS event_kind,
+  CASE category WHEN 'Process' THEN 'process' WHEN 'Network' THEN 'network' WHEN 'File' THEN 'file' WHEN 'Registry' THEN 'registry' WHEN 'Dns' THEN 'network' WHEN 'ImageLoad' THEN 'library' WHEN 'Scripting' THEN 'process' WHEN 'Wmi' THEN 'api' ELSE 'configuration' END AS event_category,
+  CASE category WHEN 'Process' THEN 'start' WHEN 'Network' THEN 'connection' WHEN 'File' THEN CASE WHEN opcode IN (64, 65) THEN 'creation' WHEN opcode IN (70, 72) THEN 'deletion' ELSE 'change' END WHEN 'Registry' THEN CASE WHEN opcode = 36 THEN 'creation' WHEN opcode IN (38, 41) THEN 'deletion' ELSE 'change' END
+    WHEN 'Dns' THEN 'protocol' WHEN 'ImageLoad' THEN 'start' WHEN 'Scripting' THEN 'info' WHEN 'Wmi' THEN 'info' WHEN 'Service' THEN CASE WHEN event_id = 7045 THEN 'creation' ELSE 'change' END ELSE CASE WHEN event_id = 106 THEN 'creation' ELSE 'change' END END AS event_type,
+  CASE category WHEN 'Process' THEN 'process-start' WHEN 'Network' THEN 'network-connection' WHEN 'File' THEN CASE WHEN opcode IN (64, 65) THEN 'file-create' WHEN opcode IN (70, 72) THEN 'file-delete' ELSE 'file-change' END
+    WHEN 'Registry' THEN coalesce(EventType, CASE WHEN opcode = 36 THEN 'registry-create' WHEN opcode IN (38, 41) THEN 'registry-delete' ELSE 'registry-set' END) WHEN 'Dns' THEN 'dns-query' WHEN 'ImageLoad' THEN 'image-load' WHEN 'Scripting' THEN 'powershell-script' WHEN 'Wmi' THEN coalesce(Operation, 'wmi-operation')
+    WHEN 'Service' THEN CASE WHEN event_id = 7045 THEN 'service-create' ELSE 'service-change' END ELSE CASE WHEN event_id = 106 THEN 'task-create' ELSE 'task-change' END END AS event_action,
+  CAST(event_id AS VARCHAR) AS event_code, CAST(25 * (seq % 4 + 1) AS INT) AS event_severity, 'edr' AS event_module, 'edr.' || CASE category WHEN 'ImageLoad' THEN 'library' ELSE lower(category) END AS event_dataset, 'edr-rust' AS event_provider,
+  CASE seq % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS edr_rule_severity, 'Sigma' AS edr_rule_engine"""),
+    ("ecs_process", "process.executable process.name process.command_line process.pid process.parent.executable process.parent.name process.parent.pid process.working_directory edr.process.integrity_level winlog.logon.id process.pe.original_file_name", "category = 'Process'", f"""Image AS process_executable, {_BASE_SQL.format('Image')} AS process_name, CommandLine AS process_command_line, CASE WHEN ProcessId NOT LIKE '0x%' THEN CAST(ProcessId AS BIGINT) END AS process_pid,
+  ParentImage AS process_parent_executable, {_BASE_SQL.format('ParentImage')} AS process_parent_name, CAST(ParentProcessId AS BIGINT) AS process_parent_pid, CurrentDirectory AS process_working_directory, IntegrityLevel AS edr_process_integrity_level, LogonId AS winlog_logon_id, OriginalFileName AS process_pe_original_file_name"""),
+    ("ecs_network", "destination.ip destination.port destination.domain source.ip source.port network.transport network.type network.direction related.ip", "category = 'Network'", f"""DestinationIp AS destination_ip, CASE WHEN CAST(DestinationPort AS INT) <= 65535 THEN CAST(DestinationPort AS INT) END AS destination_port, DestinationHostname AS destination_domain, SourceIp AS source_ip, CAST(SourcePort AS INT) AS source_port,
+  CASE opcode WHEN 12 THEN 'tcp' WHEN 15 THEN 'udp' END AS network_transport, CASE WHEN regexp_matches(coalesce(SourceIp, DestinationIp), '{IP4}') THEN 'ipv4' WHEN contains(coalesce(SourceIp, DestinationIp), ':') THEN 'ipv6' END AS network_type, 'egress' AS network_direction,
+  CASE WHEN SourceIp IS NULL THEN DestinationIp WHEN SourceIp < DestinationIp THEN SourceIp || ',' || DestinationIp ELSE DestinationIp || ',' || SourceIp END AS related_ip"""),
+    ("ecs_file", "file.path file.name file.extension", "category = 'File'", f"TargetFilename AS file_path, {_BASE_SQL.format('TargetFilename')} AS file_name, {_EXT_SQL.format('TargetFilename')} AS file_extension"),
+    ("ecs_registry_split", "registry.path registry.hive registry.key registry.value registry.data.strings", "category = 'Registry'", r"""TargetObject AS registry_path, split_part(TargetObject, '\', 1) AS registry_hive,
+  CASE WHEN contains(TargetObject, '\') THEN CASE WHEN contains(lower(coalesce(EventType, '')), 'value') THEN 'Software\Run' ELSE substr(TargetObject, 6) END END AS registry_key,
+  CASE WHEN contains(TargetObject, '\') AND contains(lower(coalesce(EventType, '')), 'value') THEN substr(TargetObject, 19) END AS registry_value, Details AS registry_data_strings"""),
+    ("ecs_dns_ips", "dns.question.name dns.resolved_ip dns.response_code network.protocol related.ip", "category = 'Dns'", """QueryName AS dns_question_name, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(QueryResults, '[0-9A-Fa-f.:]+'), lambda x: regexp_matches(x, '""" + IP4 + """')))), ',') AS dns_resolved_ip, QueryStatus AS dns_response_code, 'dns' AS network_protocol,
+  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(QueryResults, '[0-9A-Fa-f.:]+'), lambda x: regexp_matches(x, '""" + IP4 + """')))), ',') AS related_ip"""),
+    ("ecs_image_load", "file.path file.code_signature.exists dll.name dll.path file.pe.original_file_name", "category = 'ImageLoad'", f"ImageLoaded AS file_path, CASE lower(Signed) WHEN 'true' THEN true WHEN 'unsigned' THEN false END AS file_code_signature_exists, {_BASE_SQL.format('ImageLoaded')} AS dll_name, ImageLoaded AS dll_path, OriginalFileName AS file_pe_original_file_name"),
+    ("ecs_script_wmi_service_task", "edr.powershell.script_block_text file.name edr.wmi.query destination.domain service.name edr.service.executable edr.task.name", "category IN ('Scripting', 'Wmi', 'Service', 'Task')", "ScriptBlockText AS edr_powershell_script_block_text, CASE WHEN category = 'Scripting' THEN 'run.ps1' END AS file_name, Query AS edr_wmi_query, DestinationHostname AS destination_domain, ServiceName AS service_name, ServiceFileName AS edr_service_executable, TaskName AS edr_task_name"),
+    ("ecs_user_split", "user.name user.id user.domain related.user", "true", r"CASE User WHEN 'CORP\alice' THEN 'alice' WHEN 'bob' THEN 'bob' END AS user_name, CASE User WHEN 'S-1-5-18' THEN User END AS user_id, CASE User WHEN 'CORP\alice' THEN 'CORP' END AS user_domain, CASE User WHEN 'CORP\alice' THEN 'alice' ELSE User END AS related_user"),
+]
+for _name, _cols, _where, _sql in _ECS:
+    QUERIES[_name] = _ecs(_cols, _where)
+    SQL[_name] = T + f"SELECT seq, {_sql} FROM t WHERE {_where}"
+
+
+@query("ecs_ndjson", T + """SELECT '{"@timestamp":"' || timestamp || '","event.action":"' || CASE WHEN opcode IN (64, 65) THEN 'file-create' WHEN opcode IN (70, 72) THEN 'file-delete' ELSE 'file-change' END || '"' || CASE WHEN Image IS NULL THEN '' ELSE ',"process.executable":"' || replace(Image, '\\', '\\\\') || '"' END || '}' AS value FROM t WHERE category = 'File'""")
+def _(spark, sf_dir):
+    got = ecs.project(_every_event(spark, sf_dir).where("category = 'File'"))
+    return ecs.ndjson(got.select("`@timestamp`", "`event.action`", "`process.executable`"))
+
+
+_PID = "CASE WHEN ProcessId LIKE '0x%' THEN CAST('0x' || lpad(substr(ProcessId, 3), 8, '0') AS BIGINT) ELSE CAST(ProcessId AS BIGINT) END"
+
+
+@query("rsp_decision", T + f"""SELECT seq, CASE WHEN seq % 4 < 2 THEN NULL WHEN pid IS NULL THEN 'skip-no-pid' WHEN pid <= 4 OR pid = 400 THEN 'skip-protected-pid' WHEN Image IS NULL THEN 'skip-no-image'
+  WHEN starts_with(lower(Image), 'c:\\windows\\') OR lower(Image) LIKE '%\\notepad.exe' OR lower(Image) = 'd:\\tools\\cmd.exe' THEN 'skip-allowlisted' ELSE 'terminate' END AS response_decision, pid AS response_pid FROM (SELECT *, {_PID} AS pid FROM t)""")
+def _(spark, sf_dir):
+    policy = response.Policy("high", dry_run=False, own_pid=400, allow_images=("NOTEPAD.exe", "D:/Tools/cmd.exe"), allow_paths=("C:\\Windows",))
+    return response.decide(_every_event(spark, sf_dir), policy).select("seq", "response_decision", "response_pid")
+
+
+# ---------------------------------------------------------------- content rules
+
+_YARA = r"""
+rule licence : legal { meta: author = "x" strings: $a = "license" nocase $b = "version" condition: $a and not $b }
+rule shouting { strings: $a = "!!" condition: #a > 20 and filesize < 100KB }
+rule either { strings: $m1 = "MIT" fullword $m2 = "Apache" $g = "GNU" condition: 1 of ($m*) or $g }
+rule two_of { strings: $a = "the" $b = "zz" $c = "ing" condition: 2 of them }
+"""
+_YSQL = [
+    ("licence", "contains(lower(text), 'license') AND NOT contains(text, 'version')"),
+    ("shouting", "len(regexp_extract_all(text, '!!')) > 20 AND octet_length(encode(text)) < 102400"),
+    ("either", "regexp_matches(text, '\\bMIT\\b') OR contains(text, 'Apache') OR contains(text, 'GNU')"),
+    ("two_of", "CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'zz') AS INT) + CAST(contains(text, 'ing') AS INT) >= 2"),
+]
+
+
+@query("yara_text_rules", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule_name FROM documents WHERE coalesce({c}, false)" for n, c in _YSQL if n != "shouting"))
+def _(spark, sf_dir):
+    rules = [r for r in yara.parse(_YARA) if r.name != "shouting"]
+    return yara.text_hits(documents(spark, sf_dir), rules, "text").select("doc_id", "rule_name")
+
+
+@query("yara_count_conditions", "SELECT doc_id, 'shouting' AS rule_name FROM documents WHERE (length(text) - length(replace(text, '!!', ''))) / 2 > 20 AND octet_length(encode(text)) < 102400")
+def _(spark, sf_dir):
+    return yara.text_hits(documents(spark, sf_dir), [r for r in yara.parse(_YARA) if r.name == "shouting"], "text").select("doc_id", "rule_name")
+
+
+@query("yara_byte_scan", "SELECT doc_id, 'bytes' AS rule, strpos(text, 'License') - 1 AS first_offset FROM documents WHERE regexp_matches(text, 'L.cense') AND strpos(text, 'License') > 0 AND text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
+def _(spark, sf_dir):
+    rules = yara.parse('rule bytes { strings: $h = { 4C ?? 63 65 [2] 65 } condition: $h }')
+    ascii_only = documents(spark, sf_dir).where(F.col("text") == F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    got = yara.scan(ascii_only.select("doc_id", F.col("text").cast("binary").alias("content")), rules)
+    return got.select("doc_id", "yara.rule", F.col("yara.strings")[0]["offset"].alias("first_offset"))
+
+
+@query("yara_triggers", T + "SELECT DISTINCT Image AS path, coalesce(ProcessId, CAST(header_pid AS VARCHAR)) AS pid FROM t WHERE category = 'Process' AND Image IS NOT NULL AND NOT starts_with(lower(Image), 'c:\\windows\\')")
+def _(spark, sf_dir):
+    return yara.triggers(V.telemetry(spark, sf_dir), ("C:/Windows",))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("stream_conn_first", SQL["enr_conn_first"])
+def _(spark, sf_dir):
+    return flows.replay(spark, V.events_view(spark, sf_dir, V.CONNECTIONS), lambda s: flows.first_connections(s)).select("seq", "image", "dest_ip", "dest_port", "protocol")
+
+
+@query("stream_process_state", SQL["enr_process_asof"])
+def _(spark, sf_dir):
+    life = V.events_view(spark, sf_dir, V.LIFE).select("seq", "pid", "kind", "Image")
+    return flows.replay(spark, life, lambda s: flows.process_state(s))
+
+
+@query("stream_first_match", SQL["sig_first_match"])
+def _(spark, sf_dir):
+    return flows.replay(spark, V.telemetry(spark, sf_dir), lambda s: rule_set().alerts(s)).select("seq", "rule_name")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Rules and indicators over telemetry, shaped and decided."""
+    from ..engine import Detector
+
+    d = Detector(rule_set(), _LIST, policy=response.Policy("low"))
+    got = d.run(V.telemetry(spark, sf_dir))
+    keep = ["@timestamp", "event.action", "event.severity", "rule.name", "rule.description", "edr.rule.engine", "process.name", "user.name", "destination.ip", "dns.question.name", "file.name"]
+    return got.select("response_decision", *(F.col(f"`{c}`").alias(c.replace(".", "_").replace("@", "")) for c in keep))
+
+
+QUERIES["e2e_alerts"] = lambda spark, sf_dir: flagship(spark, sf_dir).groupBy("edr_rule_engine", "response_decision").agg(F.count("*").alias("alerts"))
