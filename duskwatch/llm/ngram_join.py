@@ -16,10 +16,9 @@ Plan
    of its texts, and no list of documents is ever cut short.
 4. Candidate pairs are gathered in tiles around their lowest neighbour; each document's n-grams travel once to each tile it is in, and
    the exact overlap of all pairs of a tile is counted by array operations.
-Nothing is broadcast but the ids of collapsed copies while they are few (`BROADCAST_ROWS`); beyond that the same join is shuffled.
+Nothing is broadcast but ids (of collapsed copies, and of what a tile needs) while they are few (`BROADCAST_ROWS`, counted first); beyond that the same joins are shuffled.
 
-Equality of n-grams is equality of a 64-bit hash's bucket and 32 further bits, so the chance that a pair gains one shared n-gram it does not have is below |x||y| / 2**32 in a single
-bucket and falls with the number of buckets.
+Equality of n-grams is equality of 32-bit marks in the end, so the chance that a pair gains one shared n-gram it does not have is below |x||y| / 2**32.
 
 Defined results
 ---------------
@@ -62,6 +61,16 @@ def grams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return textops.unique_per_doc(g, gd, len(texts))
 
 
+def frequency_code(df: np.ndarray) -> np.ndarray:
+    """A document frequency in one byte that keeps the order: exact to 127, then in sixteenths of a doubling."""
+    return np.where(df < 128, df, np.minimum(255, 128 + np.floor(16 * np.log2(np.maximum(df, 128) / 128.0)))).astype("u1")
+
+
+def frequency(code: np.ndarray) -> np.ndarray:
+    c = code.astype(np.int64)
+    return np.where(c < 128, c, np.floor(128 * 2.0 ** ((c - 128) / 16.0))).astype(np.int64)
+
+
 def _delta(x: np.ndarray) -> bytes:
     return np.diff(x, prepend=0).astype("<i8").tobytes()
 
@@ -222,7 +231,7 @@ def _frequencies(rows: DataFrame, buckets: int, back: int) -> DataFrame:
                 df = np.repeat(df, df)
                 doc, tok, df = doc[df > 1], tok[df > 1], df[df > 1]
                 order = np.argsort(doc, kind="stable")
-                doc, tok, df = doc[order], tok[order], df[order].astype("<u4")
+                doc, tok, df = doc[order], tok[order], frequency_code(df[order])
                 r = _runs(doc)
                 count = np.diff(r)
                 for k, own in _split(doc[r[:-1]], keys):
@@ -244,7 +253,7 @@ def _split(ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]
 
 
 def prefixes(doc: np.ndarray, tok: np.ndarray, df: np.ndarray, size: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, ...]:
-    """For postings in order of (document, frequency, n-gram): where each document's begin, which documents can have a partner, their l and their prefix length.
+    """For postings in order of (document, frequency code, n-gram): where each document's begin, which documents can have a partner, their l and their prefix length.
 
     `size` is the size of each document's set; n-grams of one document only are not among the postings, and come first in the order.
     """
@@ -252,7 +261,7 @@ def prefixes(doc: np.ndarray, tok: np.ndarray, df: np.ndarray, size: np.ndarray,
     m = np.diff(at)
     least = np.ceil(threshold * size - 1e-9).astype(np.int64)
     able = m >= least
-    cum = np.concatenate([[0], np.cumsum(df.astype(np.int64) - 1)])
+    cum = np.concatenate([[0], np.cumsum(frequency(df) - 1)])
     best = np.full(len(m), np.inf)
     need = np.ones(len(m), dtype=np.int64)
     for ell in range(1, most + 1):
@@ -281,15 +290,16 @@ def _choose(rows: DataFrame, back: int, buckets: int, threshold: float, most: in
             sizes = sizes[first].astype(np.int64)
             doc = np.concatenate([np.repeat(_undelta(r[1]), np.frombuffer(r[2], "<u4")) for r in some])
             tok = np.concatenate([np.frombuffer(r[3], "<u4").astype(np.uint64) | (np.uint64(r[0]) << _32) for r in some])
-            df = np.concatenate([np.frombuffer(r[4], "<u4") for r in some])
+            df = np.concatenate([np.frombuffer(r[4], "u1") for r in some])
             del got, some
             order = np.lexsort((tok, df, doc))
             doc, tok, df = doc[order], tok[order], df[order]
             n = sizes[np.searchsorted(ids, doc[_runs(doc)[:-1]])]
             at, able, need, length = prefixes(doc, tok, df, n, threshold, most)
+            mark = np.maximum(textops.mix64(tok) >> _32, np.uint64(1)).astype("<u4")
             out: list[tuple] = []
             for i in np.flatnonzero(able).tolist():
-                out.append((0, 0, int(doc[at[i]]), int(n[i]), np.sort(tok[at[i] : at[i + 1]]).tobytes(), None, None))
+                out.append((0, 0, int(doc[at[i]]), int(n[i]), np.sort(mark[at[i] : at[i + 1]]).tobytes(), None, None))
             own = np.flatnonzero(able & (length > 0))
             if len(own):
                 count = length[own]
@@ -297,11 +307,11 @@ def _choose(rows: DataFrame, back: int, buckets: int, threshold: float, most: in
                 step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
                 place = at[own][who] + step
                 t = tok[place]
-                mark = np.maximum(textops.mix64(t) >> _32, np.uint64(1)).astype("<u4")
+                seen = mark[place]
                 before = np.zeros((len(t), BACK), dtype="<u4")
                 for j in range(1, BACK + 1):
                     ok = step >= j
-                    before[ok, j - 1] = mark[np.flatnonzero(ok) - j]
+                    before[ok, j - 1] = seen[np.flatnonzero(ok) - j]
                 for k, pick in _split(t, keys):
                     r = _runs(who[pick])
                     d = own[who[pick[r[:-1]]]]
@@ -394,14 +404,16 @@ def overlaps(sets: dict[int, tuple[int, np.ndarray]], pairs: np.ndarray, thresho
     return pairs[ok], out[ok]
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, broadcast_rows: int) -> DataFrame:
     """(x, y, jaccard) of the candidate pairs that are similar enough."""
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     tile = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("tile"))
     at = pairs.join(tile, "x")
-    need = at.select("tile", F.col("x").alias("doc")).unionByName(at.select("tile", F.col("y").alias("doc"))).distinct()
+    at = written(at, "tiles")
+    need = written(at.select("tile", F.col("x").alias("doc")).unionByName(at.select("tile", F.col("y").alias("doc"))).distinct(), "members")
+    few = need.count() <= broadcast_rows
     none = F.lit(None)
-    rows = sets.join(need, "doc").select("tile", F.lit(0).alias("k"), "doc", "n", "a").unionByName(at.select("tile", F.lit(1).alias("k"), F.col("x").alias("doc"), F.col("y").alias("n"), none.cast("binary").alias("a")))
+    rows = sets.join(need.hint("broadcast" if few else "shuffle_hash"), "doc").select("tile", F.lit(0).alias("k"), "doc", "n", "a").unionByName(at.select("tile", F.lit(1).alias("k"), F.col("x").alias("doc"), F.col("y").alias("n"), none.cast("binary").alias("a")))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[int, np.ndarray]] = {}
@@ -419,7 +431,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float) -
                     yield from end()
                     now, sets, asked = t, {}, []
                 if k == 0:
-                    sets[doc] = (n, np.frombuffer(a, np.uint64))
+                    sets[doc] = (n, np.frombuffer(a, "<u4"))
                 else:
                     asked.append((doc, n))
                     if len(asked) >= CHUNK_PAIRS:
@@ -447,17 +459,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     back, third, parts = max(1, -(-buckets // 3)), max(1, -(-buckets // 8)), max(1, -(-buckets // 8))
     chosen = written(_choose(_frequencies(_gram_rows(rest, n, buckets), buckets, back), back, third, threshold, most_matches), "prefixes")
     pairs = written(_candidates(chosen, third, threshold), "candidates")
-    return _verified(chosen.where("kind = 0").select("doc", "n", "a"), pairs, parts, threshold), same
+    return _verified(chosen.where("kind = 0").select("doc", "n", "a"), pairs, parts, threshold, broadcast_rows), same
 
 
-def join(docs: DataFrame, **options) -> DataFrame:
+def join(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard) of every pair of similar documents, the lower id first."""
-    pairs, same = similar(docs, **options)
-    pairs = written(pairs, "verified")
-    members = same.unionByName(same.select("rep", F.col("rep").alias("id")).distinct())
+    pairs, same = similar(docs, broadcast_rows=broadcast_rows, **options)
+    members = written(same.unionByName(same.select("rep", F.col("rep").alias("id")).distinct()), "copies")
+    how = "broadcast" if members.count() <= broadcast_rows else "merge"
     a = members.select(F.col("rep").alias("x"), F.col("id").alias("ia"))
     b = members.select(F.col("rep").alias("y"), F.col("id").alias("ib"))
-    wide = pairs.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("ia", "x").alias("p"), F.coalesce("ib", "y").alias("q"), "jaccard")
+    wide = pairs.join(a.hint(how), "x", "left").join(b.hint(how), "y", "left").select(F.coalesce("ia", "x").alias("p"), F.coalesce("ib", "y").alias("q"), "jaccard")
     equal = members.select("rep", F.col("id").alias("p")).join(members.select("rep", F.col("id").alias("q")), "rep").where("p < q").select("p", "q", F.lit(1.0).alias("jaccard"))
     return wide.unionByName(equal).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
