@@ -14,7 +14,7 @@ Defined results
 ---------------
 * A null or empty text, and one without a span that covers `min_cover` of its template, gives no row.
 * Case, punctuation and white space are ignored.  Spans are counted in tokens from 0, the end excluded.
-* Of spans of several templates over the same tokens, the one that covers most tokens stays; ties go to the template named first.
+* Of spans of several templates over the same tokens, the one that covers most tokens stays; ties go to the shorter template, then to the one named first.
 * Repeated rows give their rows each; a null id is carried along.  Only id and text are read, so other columns cannot clash.
 """
 
@@ -180,12 +180,12 @@ class Scanner:
                     break
                 while best[i][1] >= 0:
                     i = best[i][1]
-                chains.append((-covered, t, ms[i][0], ms[j][0] + ms[j][2], links))
-        out: list[tuple[int, int, int, int, int]] = []
+                chains.append((-covered, self.sizes[t], t, ms[i][0], ms[j][0] + ms[j][2], links))
+        out: list[tuple[int, ...]] = []
         for c in sorted(chains):
-            if all(c[3] <= o[2] or c[2] >= o[3] for o in out):
+            if all(c[4] <= o[3] or c[3] >= o[4] for o in out):
                 out.append(c)
-        return [(self.names[t], start, end, -neg, round(min(1.0, -neg / self.sizes[t]), 6), links) for neg, t, start, end, links in sorted(out, key=lambda o: (o[2], o[1]))]
+        return [(self.names[t], start, end, -neg, round(min(1.0, -neg / self.sizes[t]), 6), links) for neg, _, t, start, end, links in sorted(out, key=lambda o: (o[3], o[2]))]
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, max_gap: int = MAX_GAP) -> DataFrame:

@@ -5,7 +5,7 @@ its block is as long as ``Content-Length`` says and ends with two line ends, and
 reader searches for the next gzip member or version line that begins a record that passes, goes on from there, and logs the bytes between as a quarantined gap.
 
 Plan: compressed files are read in splits of `split_bytes`.  A record belongs to the split in which its member begins; a split finds its first member by the same search that salvages, and
-looks on past its end for the next one, so that the gap between two splits is logged once, by the former.  An uncompressed file is one split, since a page may quote a version line.
+goes on past its end to the next one, so that what lies between two splits is read or logged once, by the former.  An uncompressed file is one split, since a page may quote a version line.
 A task holds one record and one block of the file at a time.  Nothing is shuffled but the list of splits.
 
 Defined results
@@ -203,13 +203,14 @@ def read_one(src: Source, at: int, most: int = MOST_BYTES) -> tuple[int, list[tu
 
 
 def salvage(src: Source, start: int, end: int, most: int = MOST_BYTES) -> Iterator[tuple]:
-    """(kind, offset, length, inner offset, headers, body, reason) of all that begins in [start, end), and of the gap from there to what begins next."""
-    at, gap, why = start, None, ""
-    if start == 0:
-        gap = 0
-    synced = start == 0
-    while at < src.size and (at < end or gap is not None):
-        got = read_one(src, at, most)
+    """(kind, offset, length, inner offset, headers, body, reason) of the split [start, end): all from its first gzip member up to the first member at or after
+    `end`, gaps included.  The first split has all from the beginning.  Only members mark where a split begins, since a page may hold a version line."""
+    at, gap, why, synced = start, None, "", start == 0
+    while at < src.size:
+        if not synced and at >= end:
+            return
+        zipped = src.at(at, 3) == MAGIC
+        got = read_one(src, at, most) if synced or zipped else "not a member"
         if isinstance(got, str):
             if synced and gap is None:
                 gap = at
@@ -217,18 +218,16 @@ def salvage(src: Source, start: int, end: int, most: int = MOST_BYTES) -> Iterat
             nxt = src.find(at + 1)
             at = src.size if nxt is None else nxt
             continue
-        if gap is not None and gap < at:
+        synced = True
+        if gap is not None:
             yield "gap", gap, at - gap, None, None, None, why
         gap, why = None, ""
-        if at >= end:
+        if at >= end and zipped:
             return
-        synced = True
         for kind, inner, length, headers, body, reason in got[1]:
             yield kind, at, length, inner, headers, body, reason
         at = got[0]
-        if at >= end and at < src.size:
-            gap = at
-    if gap is not None and gap < src.size and (synced or start == 0):
+    if gap is not None:
         yield "gap", gap, src.size - gap, None, None, None, why
 
 
