@@ -264,10 +264,13 @@ def prefixes(doc: np.ndarray, tok: np.ndarray, df: np.ndarray, size: np.ndarray,
     cum = np.concatenate([[0], np.cumsum(frequency(df) - 1)])
     best = np.full(len(m), np.inf)
     need = np.ones(len(m), dtype=np.int64)
+    top = np.maximum.reduceat(frequency(df), at[:-1]) if len(m) else np.zeros(0)
     for ell in range(1, most + 1):
         k = np.clip(m - least + ell, 0, m)
         shared = cum[at[:-1] + k] - cum[at[:-1]]
-        cost = shared * (1 + size / 75 / ell)  # postings to pair up, and candidates to verify: at most shared / l
+        # In microseconds: to compare postings; to count the rows that a partner sends, l at least; to verify candidates.  These are at most
+        # shared / l, if each n-gram has other partners, and about as many as the longest list, if all have the same: in between, their geometric mean.
+        cost = 0.15 * shared + 1.5 * ell * np.minimum(top, shared) + (1 + size / 1000) * np.sqrt(np.minimum(top, shared) * (shared / ell))
         better = (cost < best) & (ell <= least)
         best[better], need[better] = cost[better], ell
     return at, able, need, np.clip(m - least + need, 0, m)
@@ -408,8 +411,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, b
     """(x, y, jaccard) of the candidate pairs that are similar enough."""
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     tile = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("tile"))
-    at = pairs.join(tile, "x")
-    at = written(at, "tiles")
+    tile = written(tile, "lowest")
+    at = written(pairs.join(tile.hint("broadcast" if tile.count() <= broadcast_rows else "merge"), "x"), "tiles")
     need = written(at.select("tile", F.col("x").alias("doc")).unionByName(at.select("tile", F.col("y").alias("doc"))).distinct(), "members")
     few = need.count() <= broadcast_rows
     none = F.lit(None)
