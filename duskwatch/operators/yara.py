@@ -282,7 +282,7 @@ def parse(text: str, namespace: str = "default") -> list[Rule]:
         have = {s.id for s in r.strings}
         for used in _used(r.condition):
             if used.endswith("*"):
-                if not any(h.startswith(used[:-1]) for h in have):
+                if used != "$*" and not any(h.startswith(used[:-1]) for h in have):
                     raise ValueError(f"{r.name}: nothing matches {used}")
             elif used not in have:
                 raise ValueError(f"{r.name}: {used} is not defined")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -117,21 +118,20 @@ def to_rule(doc: Any, path: str = "", index: int = 0) -> Rule:
     return Rule(str(doc["title"]), doc["logsource"], doc["detection"], str(doc.get("level") or ""), str(doc.get("id") or ""), str(doc.get("description") or ""), path, index)
 
 
-def documents(text: str, path: str = "") -> list[Rule]:
+def documents(text: str, path: str = "") -> Iterator[Rule]:
     """The rules of one file: of a global document, each later one's logsource and detection laid over it; else the first alone."""
     docs = [d for d in yaml.load_all(text, Loader=_Loader) if d is not None]  # noqa: S506 - a safe loader
     if not docs:
         raise ValueError("the file is empty")
-    if isinstance(docs[0], dict) and docs[0].get("action") == "global":
-        out = []
-        for i, d in enumerate(docs[1:], 1):
-            whole = dict(docs[0])
-            for k in ("logsource", "detection"):
-                if isinstance(d, dict) and k in d:
-                    whole[k] = {**whole[k], **d[k]} if isinstance(whole.get(k), dict) and isinstance(d[k], dict) else d[k]
-            out.append(to_rule(whole, path, i))
-        return out
-    return [to_rule(docs[0], path)]
+    if not (isinstance(docs[0], dict) and docs[0].get("action") == "global"):
+        yield to_rule(docs[0], path)
+        return
+    for i, d in enumerate(docs[1:], 1):
+        whole = dict(docs[0])
+        for k in ("logsource", "detection"):
+            if isinstance(d, dict) and k in d:
+                whole[k] = {**whole[k], **d[k]} if isinstance(whole.get(k), dict) and isinstance(d[k], dict) else d[k]
+        yield to_rule(whole, path, i)
 
 
 def add(into: Catalogue, text: str, path: str, compiles) -> None:
