@@ -125,7 +125,7 @@ def visible(category: str) -> tuple[Callable[[str], Column | None], list[Column]
     return resolve, [resolve(f) for f in (*ALWAYS, *FIELDS[category])]
 
 
-# ---------------------------------------------------------------- literals
+# literals
 
 
 def wide(s: str, big: bool = False) -> str:
@@ -282,7 +282,7 @@ def selection(value: Any) -> Selection:
     return s
 
 
-# ---------------------------------------------------------------- conditions
+# conditions
 
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|((?:1|all)\s+of\s+(?:them\b|[A-Za-z0-9_]+\*))|([A-Za-z0-9_]+)|(\S))")
 
@@ -377,7 +377,7 @@ def compile_rule(rule: Rule) -> Compiled:
     return Compiled(rule, sel, parse_condition(rule.condition, list(sel)))
 
 
-# ---------------------------------------------------------------- rule sets
+# rule sets
 
 
 class RuleSet:

@@ -86,7 +86,7 @@ def hex_expression(text: str) -> bytes:
     return out
 
 
-# ---------------------------------------------------------------- parsing
+# parsing
 
 _LEX = re.compile(
     r"""\s+|//[^\n]*|/\*.*?\*/
@@ -318,7 +318,7 @@ def load(folder: str) -> tuple[list[Rule], list[tuple[str, str]]]:
     return rules, failed
 
 
-# ---------------------------------------------------------------- evaluation
+# evaluation
 
 _CMP = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
 

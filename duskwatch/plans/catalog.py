@@ -48,7 +48,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# ---------------------------------------------------------------- sources and normalization
+# sources and normalization
 
 _CATEGORY = "CASE provider WHEN 'kernel-process' THEN CASE opcode WHEN 1 THEN 'Process' WHEN 2 THEN 'Process' WHEN 10 THEN 'ImageLoad' END WHEN 'kernel-file' THEN 'File' WHEN 'kernel-registry' THEN 'Registry' WHEN 'kernel-network' THEN 'Network' WHEN 'dns-client' THEN 'Dns' WHEN 'powershell' THEN 'Scripting' WHEN 'wmi-activity' THEN 'Wmi' WHEN 'service-control-manager' THEN 'Service' WHEN 'task-scheduler' THEN 'Task' END"
 
@@ -127,7 +127,20 @@ def _(spark, sf_dir):
     return normalize.normalize(raw(spark, sf_dir).withColumn("props", props)).select("seq", "category", "Image", "ProcessId", "DestinationIp", "DestinationPort")
 
 
-# ---------------------------------------------------------------- field matchers
+@query("nrm_command_line", T + "SELECT seq, coalesce(CommandLine, CASE WHEN ProcessId NOT LIKE '0x%' AND CAST(ProcessId AS BIGINT) % 8 = 0 THEN 'snap ' || ProcessId END) AS line FROM t WHERE category = 'Process'")
+def _(spark, sf_dir):
+    t = V.telemetry(spark, sf_dir).where("category = 'Process'")
+    snapshot = t.where("ProcessId NOT LIKE '0x%'").select(F.col("ProcessId").cast("long").alias("pid")).where("pid % 8 = 0").distinct().select("pid", F.concat(F.lit("snap "), F.col("pid").cast("string")).alias("command_line"))
+    return normalize.with_command_lines(t, snapshot).select("seq", F.col("CommandLine").alias("line"))
+
+
+@query("nrm_lifecycle", R + "SELECT seq, CAST(header_pid AS VARCHAR) AS pid, CASE WHEN opcode = 2 THEN 'stop' ELSE 'start' END AS kind FROM r WHERE provider = 'kernel-process' AND opcode IN (1, 2) AND level <= 4 AND (keywords & 80) <> 0")
+def _(spark, sf_dir):
+    r = raw(spark, sf_dir).withColumn("props", F.create_map(F.lit("ImageName"), F.lit("a.exe")))
+    return normalize.lifecycle(r).select("seq", "pid", "kind")
+
+
+# field matchers
 
 _MODS: list[tuple[str, str, str, str]] = [
     ("mod_exact_ci", "process_creation", "{User: 'corp\\ALICE'}", "lower(User) = 'corp\\alice'"),
@@ -179,7 +192,7 @@ for _name, _cat, _yaml, _cond in _MODS:
     QUERIES[_name] = _detects(_cat, _yaml)
     SQL[_name] = T + f"SELECT seq FROM t WHERE category = '{_BUCKET[_cat]}' AND coalesce({_cond}, false)"
 
-# ---------------------------------------------------------------- rules
+# rules
 
 _A = "{img: {Image|endswith: '\\cmd.exe'}, sel_a: {CommandLine|contains: foo}, sel_b: {IntegrityLevel: High}, condition: '%s'}"
 _IMG, _SA, _SB = "coalesce(lower(Image) LIKE '%\\cmd.exe', false)", "coalesce(contains(lower(CommandLine), 'foo'), false)", "coalesce(lower(IntegrityLevel) = 'high', false)"
@@ -292,7 +305,7 @@ def _(spark, sf_dir):
     return got.select("seq", "match.summary", F.col("match.keyword_matches")[0]["field"].alias("field"))
 
 
-# ---------------------------------------------------------------- indicators
+# indicators
 
 
 def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +328,16 @@ for _k, _f in (("md5", "md5(text)"), ("sha1", "sha1(text)"), ("sha256", "sha256(
     QUERIES[f"ioc_hash_{_k}"] = _hash_query(_k)
     SQL[f"ioc_hash_{_k}"] = f"SELECT doc_id, 'ioc:{_k}:' || {_f} AS rule_name FROM documents WHERE {_f} IN (SELECT {_f} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
+_KNOWN = ind.Indicators(ind.hashes("8f14e45fceea167a5a36dedd4bea2543;seven\n7b52009b64fd0a2a49e6d8a939753077792b0554\n", "hashes.txt"))
+
+
+@query("ioc_hash_files", "SELECT DISTINCT doc_id % 100 AS n, CASE WHEN doc_id % 50 = 7 THEN 'ioc:md5:8f14e45fceea167a5a36dedd4bea2543' ELSE 'ioc:sha1:7b52009b64fd0a2a49e6d8a939753077792b0554' END AS rule_name FROM documents WHERE doc_id % 50 IN (7, 12) AND doc_id % 100 <> 57")
+def _(spark, sf_dir):
+    n = F.col("doc_id") % 100
+    files = documents(spark, sf_dir).select(n.alias("n"), F.concat(F.when(n == 57, "C:\\Windows\\").otherwise("D:\\"), n.cast("string")).alias("path"), F.lit(2).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), (F.col("doc_id") % 50).cast("string").cast("binary").alias("content"))
+    return indicators.alert_columns(indicators.match_hashes(files, _KNOWN, allow=("C:\\Win",))).select("n", "rule_name")
+
+
 _LIST = ind.Indicators(
     ind.ips("10.1.7.9;one\n192.0.2.10\n10.2.0.0/16;net\n10.3.64.0/18\n2001:db8::/127;six\n", "ips.txt")
     + ind.domains("example.org;plain\nhost3.example.com\n*.example.net;below\n.evil.test\n# nothing\n", "domains.txt")
@@ -385,7 +408,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame(_LIST.stats(), "kind string, n int")
 
 
-# ---------------------------------------------------------------- enrichment
+# enrichment
 
 
 def _life(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -451,6 +474,11 @@ def _(spark, sf_dir):
     return enrich.asof_dns(b.where("et = 'click'").select("seq", ip.alias("ip")), cache)
 
 
+@query("enr_dns_answers", T + f"SELECT seq, unnest(list_distinct(list_filter(regexp_extract_all(QueryResults, '[0-9A-Fa-f.:]+'), lambda x: regexp_matches(x, '{IP4}')))) AS ip, QueryName AS hostname FROM t WHERE category = 'Dns'")
+def _(spark, sf_dir):
+    return enrich.answers(V.telemetry(spark, sf_dir).where("category = 'Dns'")).select("seq", "ip", "hostname")
+
+
 _KEY = "image, dest_ip, dest_port, protocol"
 
 
@@ -477,7 +505,7 @@ def _(spark, sf_dir):
     return enrich.rate_limited(V.events_view(spark, sf_dir, V.CONNECTIONS), "image", "seq", 50)
 
 
-# ---------------------------------------------------------------- alert shape and response
+# alert shape and response
 
 
 def _every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,7 +571,7 @@ def _(spark, sf_dir):
     return response.decide(_every_event(spark, sf_dir), policy).select("seq", "response_decision", "response_pid")
 
 
-# ---------------------------------------------------------------- content rules
+# content rules
 
 _YARA = r"""
 rule licence : legal { meta: author = "x" strings: $a = "license" nocase $b = "version" condition: $a and not $b }
@@ -583,7 +611,15 @@ def _(spark, sf_dir):
     return yara.triggers(V.telemetry(spark, sf_dir), ("C:/Windows",))
 
 
-# ---------------------------------------------------------------- streams
+@query("yara_alerts", T + "SELECT DISTINCT Image AS process_executable, 'mz' AS rule_name, 'Critical' AS severity, 'Yara' AS engine FROM t WHERE category = 'Process' AND lower(Image) LIKE '%cmd.exe'")
+def _(spark, sf_dir):
+    paths = yara.triggers(V.telemetry(spark, sf_dir)).select("path").distinct()
+    files = paths.withColumns({"pid": F.lit("5"), "content": F.when(F.col("path").endswith("cmd.exe"), F.unhex(F.lit("4D5A9000"))).otherwise(F.unhex(F.lit("00")))})
+    found = yara.scan(files.select("path", "pid", "content"), yara.parse("rule mz { strings: $m = { 4D 5A } condition: $m at 0 }"))
+    return yara.alerts(found).select(F.col("Image").alias("process_executable"), "rule_name", "severity", "engine")
+
+
+# streams
 
 
 @query("stream_conn_first", SQL["enr_conn_first"])
