@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import slices
 
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 KEEP_AT = 0.5
 HIGH_AT = 0.9
 MIN_CLASS = 8
@@ -92,8 +92,8 @@ def rows(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
             own = b[at[i] : at[i + 1]][ok[at[i] : at[i + 1]]]
             if len(own):
                 u, c = np.unique(own, return_counts=True)
-                out[i].append((u.astype(np.int64) + (g << BITS), c / len(own)))
-    none = (np.zeros(0, dtype=np.int64), np.zeros(0))
+                out[i].append((u.astype(np.int32) + (g << BITS), (c / len(own)).astype(np.float32)))
+    none = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32))
     return [(np.concatenate([p[0] for p in o]), np.concatenate([p[1] for p in o])) if o else none for o in out]
 
 
