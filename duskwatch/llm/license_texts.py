@@ -38,10 +38,18 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
-        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
-        "implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed under the Apache License, Version 2.0 (the "
+        "\"License\"); you may not use this file except "
+        "in compliance with the License. You may obtain "
+        "a copy of the License at http://"
+        "www.apache.org/"
+        "licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed "
+        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing "
+        "permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
