@@ -14,7 +14,7 @@ Plan
 3. The rest returns to its documents, which choose their prefixes.  Prefix postings are packed by n-gram bucket.  A posting carries the few
    prefix n-grams before it; if two postings share l of those, their pair has been emitted often enough and is passed over.  So what a pair costs in the shuffle does not grow with the length
    of its texts, and no list of documents is ever cut short.
-4. Candidate pairs are gathered in tiles around their lowest neighbour; each document's n-grams travel once to each tile it is in, and
+4. Candidate pairs are gathered in tiles around their lowest neighbour (a tile of very many pairs is cut into parts); each document's n-grams travel once to each tile it is in, and
    the exact overlap of all pairs of a tile is counted by array operations.
 Nothing is broadcast but ids (of collapsed copies, and of what a tile needs) while they are few (`BROADCAST_ROWS`, counted first); beyond that the same joins are shuffled.
 
@@ -48,6 +48,7 @@ BACK = 5
 BUCKET_GRAMS = 1_000_000
 FLUSH_GRAMS = 1_000_000
 CHUNK_PAIRS = 1_000_000
+TILE_PAIRS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 _HEAD = np.dtype([("doc", "<i8"), ("n", "<u4"), ("m", "<u4"), ("need", "u1"), ("count", "<u4")])
 _LOW = np.uint64(0xFFFFFFFF)
@@ -407,16 +408,21 @@ def overlaps(sets: dict[int, tuple[int, np.ndarray]], pairs: np.ndarray, thresho
     return pairs[ok], out[ok]
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, broadcast_rows: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, broadcast_rows: int, tile_pairs: int = TILE_PAIRS) -> DataFrame:
     """(x, y, jaccard) of the candidate pairs that are similar enough."""
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     tile = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("tile"))
     tile = written(tile, "lowest")
     at = written(pairs.join(tile.hint("broadcast" if tile.count() <= broadcast_rows else "merge"), "x"), "tiles")
-    need = written(at.select("tile", F.col("x").alias("doc")).unionByName(at.select("tile", F.col("y").alias("doc"))).distinct(), "members")
+    # A tile of very many pairs is cut by x into parts of about `tile_pairs`; such tiles are fewer than the pairs by that factor.
+    large = written(at.groupBy("tile").agg(F.count("*").alias("c")).where(F.col("c") > tile_pairs), "large-tiles")
+    cut = F.coalesce(F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / tile_pairs)), F.lit(0)).cast("int").alias("part")
+    at = at.join(large.hint("broadcast" if large.count() <= broadcast_rows else "merge"), "tile", "left").select("x", "y", "tile", cut)
+    need = written(at.select("tile", "part", F.col("x").alias("doc")).unionByName(at.select("tile", "part", F.col("y").alias("doc"))).distinct(), "members")
     few = need.count() <= broadcast_rows
     none = F.lit(None)
-    rows = sets.join(need.hint("broadcast" if few else "shuffle_hash"), "doc").select("tile", F.lit(0).alias("k"), "doc", "n", "a").unionByName(at.select("tile", F.lit(1).alias("k"), F.col("x").alias("doc"), F.col("y").alias("n"), none.cast("binary").alias("a")))
+    own = sets.join(need.hint("broadcast" if few else "shuffle_hash"), "doc").select("tile", "part", F.lit(0).alias("k"), "doc", "n", "a")
+    rows = own.unionByName(at.select("tile", "part", F.lit(1).alias("k"), F.col("x").alias("doc"), F.col("y").alias("n"), none.cast("binary").alias("a")))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[int, np.ndarray]] = {}
@@ -429,10 +435,10 @@ def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, b
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(j)], names=["x", "y", "jaccard"])
 
         for b in batches:
-            for t, k, doc, n, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if t != now:
+            for t, part, k, doc, n, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (t, part) != now:
                     yield from end()
-                    now, sets, asked = t, {}, []
+                    now, sets, asked = (t, part), {}, []
                 if k == 0:
                     sets[doc] = (n, np.frombuffer(a, "<u4"))
                 else:
@@ -442,10 +448,10 @@ def _verified(sets: DataFrame, pairs: DataFrame, parts: int, threshold: float, b
                         asked = []
         yield from end()
 
-    return rows.repartition(parts, "tile").sortWithinPartitions("tile", "k", "doc", "n").mapInArrow(tiles, "x long, y long, jaccard double")
+    return rows.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "k", "doc", "n").mapInArrow(tiles, "x long, y long, jaccard double")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, most_matches: int = MOST_MATCHES, bucket_grams: int = BUCKET_GRAMS, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, most_matches: int = MOST_MATCHES, bucket_grams: int = BUCKET_GRAMS, broadcast_rows: int = BROADCAST_ROWS, tile_pairs: int = TILE_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(x, y, jaccard) over documents with different texts, and (rep, id) of those with the text of a lower id."""
     if not 0 < threshold <= 1 or n < 1 or most_matches < 1:
         raise ValueError("threshold must be in (0, 1], n and most_matches at least 1")
@@ -462,7 +468,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     back, third, parts = max(1, -(-buckets // 3)), max(1, -(-buckets // 8)), max(1, -(-buckets // 8))
     chosen = written(_choose(_frequencies(_gram_rows(rest, n, buckets), buckets, back), back, third, threshold, most_matches), "prefixes")
     pairs = written(_candidates(chosen, third, threshold), "candidates")
-    return _verified(chosen.where("kind = 0").select("doc", "n", "a"), pairs, parts, threshold, broadcast_rows), same
+    return _verified(chosen.where("kind = 0").select("doc", "n", "a"), pairs, parts, threshold, broadcast_rows, tile_pairs), same
 
 
 def join(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:

@@ -62,6 +62,11 @@ def test_shuffled_instead_of_broadcast(spark, documents):
     assert run(documents(rows), broadcast_rows=0) == pytest.approx(brute(rows, 3, 0.5))
 
 
+def test_large_tiles_are_cut(spark, documents):
+    rows = corpus(10, groups=4, size=20, solo=3)
+    assert run(documents(rows), tile_pairs=5) == pytest.approx(brute(rows, 3, 0.5))
+
+
 def test_edge_cases(spark, documents):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A, b!"), (5, "..."), (6, "..."), (None, "a b"), (7, "one"), (8, "x y z x y z"), (9, "x y z x y z x"), (10, "!?")]
     got = run(documents(rows))
