@@ -31,11 +31,15 @@ class Pattern:
     value: Any = None
     cased: bool = False
 
-    def test(self, c: Column, other: Callable[[str], Column | None]) -> Column:
-        """For a present value."""
+    @property
+    def folds(self) -> bool:
+        return self.kind in ("exact", "contains", "startswith", "endswith") and not self.cased
+
+    def test(self, c: Column, other: Callable[[str], Column | None], low: Column | None = None) -> Column:
+        """For a present value; `low` is the value in lower case, if it is at hand."""
         k, v = self.kind, self.value
         if k in ("exact", "contains", "startswith", "endswith"):
-            a, b = (c, F.lit(v)) if self.cased else (C.ascii_lower(c), F.lit(C.ascii_lower_text(v)))
+            a, b = (c, F.lit(v)) if self.cased else (C.ascii_lower(c) if low is None else low, F.lit(C.ascii_lower_text(v)))
             return C.true(a == b if k == "exact" else getattr(F, k)(a, b))
         if k == "regex":
             return C.true(c.rlike(v))
@@ -67,15 +71,16 @@ class Criterion:
     patterns: list[Pattern]
     every: bool = False
 
-    def test(self, resolve: Callable[[str], Column | None]) -> Column:
+    def test(self, resolve: Callable[[str], Column | None], low: dict[str, Column] | None = None) -> Column:
         missing = any(p.kind == "null" for p in self.patterns)
         c = resolve(self.field)
         if c is None:
             return F.lit(missing)
-        tests = [p.test(c, resolve) for p in self.patterns]
+        lower = (low or {}).get(self.field)
+        tests = [p.test(c, resolve, lower) for p in self.patterns]
         same = [p for p in self.patterns if p.kind == "exact" and not p.cased]
         if not self.every and len(same) == len(self.patterns) > 8:  # a long list of values is one set
-            tests = [C.true(C.ascii_lower(c).isin([C.ascii_lower_text(p.value) for p in same]))]
+            tests = [C.true((C.ascii_lower(c) if lower is None else lower).isin([C.ascii_lower_text(p.value) for p in same]))]
         return F.when(c.isNull(), F.lit(missing)).otherwise(C.all_of(tests) if self.every else C.any_of(tests))
 
 
@@ -84,9 +89,11 @@ class Selection:
     keywords: list[Pattern] = field(default_factory=list)
     groups: list[list[Criterion]] = field(default_factory=list)  # any group, all of its criteria
 
-    def test(self, resolve: Callable[[str], Column | None], values: list[Column]) -> Column:
+    def test(self, resolve: Callable[[str], Column | None], values: list[Column], low: dict[str, Column] | None = None) -> Column:
         words = [C.any_of([C.true(v.isNotNull()) & p.test(v, lambda _: None) for v in values]) for p in self.keywords]
-        return C.any_of(words + [C.all_of([c.test(resolve) for c in g]) for g in self.groups])
+        if len(self.groups) == 1 and not words:
+            return C.all_of([c.test(resolve, low) for c in self.groups[0]])
+        return C.any_of(words + [C.all_of([c.test(resolve, low) for c in g]) for g in self.groups])
 
 
 @dataclass
@@ -99,13 +106,17 @@ class Compiled:
     def bucket(self) -> tuple[str, tuple[int, ...] | None]:
         return SUPPORTED[self.rule.category]
 
-    def results(self, resolve, values) -> dict[str, Column]:
-        return {k: s.test(resolve, values) for k, s in self.selections.items()}
+    def results(self, resolve, values, low: dict[str, Column] | None = None) -> dict[str, Column]:
+        return {k: s.test(resolve, values, low) for k, s in self.selections.items()}
+
+    def folded(self) -> set[str]:
+        """Fields that are compared without regard to case."""
+        return {c.field for s in self.selections.values() for g in s.groups for c in g if any(p.folds for p in c.patterns)}
 
-    def predicate(self) -> Column:
-        """Whether an event of the rule's category matches."""
-        resolve, values = visible(self.bucket[0])
-        got = self.results(resolve, values)
+    def predicate(self, low: dict[str, Column] | None = None, seen: tuple | None = None) -> Column:
+        """Whether an event of the rule's category matches; `seen` is what `visible` gives for it."""
+        resolve, values = seen or visible(self.bucket[0])
+        got = self.results(resolve, values, low)
         if self.tree is None:
             return C.any_of(list(got.values()))
         if not names(self.tree) <= set(got):
@@ -115,14 +126,8 @@ class Compiled:
 
 def visible(category: str) -> tuple[Callable[[str], Column | None], list[Column]]:
     """How a field is looked up in events of a category, and the columns that keywords search."""
-    own = set(FIELDS[category])
-
-    def resolve(name: str) -> Column | None:
-        if name == "EventID":
-            return F.col("event_id").cast("string")
-        return F.col(name) if name in own or name == "timestamp" else None
-
-    return resolve, [resolve(f) for f in (*ALWAYS, *FIELDS[category])]
+    cols = {"EventID": F.col("event_id").cast("string"), **{f: F.col(f) for f in ("timestamp", *FIELDS[category])}}
+    return cols.get, [cols[f] for f in (*ALWAYS, *FIELDS[category])]
 
 
 # literals
@@ -390,7 +395,16 @@ class RuleSet:
     def of(cls, catalogue: Catalogue) -> RuleSet:
         return cls([compile_rule(r) for r in catalogue.rules])
 
-    def hits(self) -> Column:
+    def lowered(self) -> dict[str, Column]:
+        """Lower-case columns, by name, of the fields that more than one rule folds: computed once a row."""
+        uses: dict[str, int] = {}
+        for r in self.rules:
+            for f in r.folded():
+                uses[f] = uses.get(f, 0) + 1
+        known = {f for own in FIELDS.values() for f in own}
+        return {f"__low_{f}": C.ascii_lower(F.col(f)) for f, n in sorted(uses.items()) if n > 1 and f in known}
+
+    def hits(self, low: dict[str, Column] | None = None) -> Column:
         """Indices of the rules that match, in order.  A category's rules are evaluated for its own events only."""
         by: dict[str, list[tuple[int, Compiled]]] = {}
         for i, r in enumerate(self.rules):
@@ -398,9 +412,9 @@ class RuleSet:
         none = F.array().cast("array<int>")
         out: Column | None = None
         for category, own in by.items():
-            tests = []
+            tests, seen = [], visible(category)
             for i, r in own:
-                p = r.predicate()
+                p = r.predicate(low, seen)
                 if r.bucket[1]:
                     p = C.true(F.col("opcode").isin(*r.bucket[1])) & p
                 tests.append(F.when(p, F.lit(i)))
@@ -413,8 +427,9 @@ class RuleSet:
         """Events with `rule` (index), one row for the first rule that matches, or for each.
 
         The rule array is exploded rather than filtered, so the optimizer has no predicate to copy below the projection."""
-        hits = self.hits()
-        return events.withColumn("rule", F.explode(hits if every else F.slice(hits, 1, 1)))
+        lowered = self.lowered()
+        hits = self.hits({n.removeprefix("__low_"): F.col(n) for n in lowered})
+        return events.withColumns(lowered).withColumn("rule", F.explode(hits if every else F.slice(hits, 1, 1))).drop(*lowered)
 
     def table(self, spark) -> DataFrame:
         """(rule, rule_name, rule_description, severity, logsource): as long as the rule set, known on the driver."""
