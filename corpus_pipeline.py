@@ -1,6 +1,6 @@
 """From documents to packed training windows.
 
-Stages, in this order: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing.  Each works on all rows that the one before it kept,
+Stages, in this order: quality rules, line dedup (whole lines, then passages of 50 words that lines do not show), n-gram Jaccard join, benchmark decontamination, packing.  Each works on all rows that the one before it kept,
 is written as Parquet in the shared folder and read again, so that a lost executor never reaches back beyond one stage.  All but the last return the columns of ``documents``;
 the last returns the packing manifest.
 
@@ -13,8 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from duskwatch.llm.common import new_path, read
+from duskwatch.llm import decontaminate, line_dedup, ngram_join, packing, passage_dedup, quality_rules
+from duskwatch.llm.common import new_path, read, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).where("text <> ''")
+    return passage_dedup.dedup_passages(written(line_dedup.dedup_lines(docs), "lines")).where("text <> ''")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, records, token_counts, warc
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, passage_dedup, quality_rules, records, token_counts, warc
 from .common import new_path, read
 
 
@@ -22,6 +22,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), removed_col="lines_removed").select("doc_id", "text", "n_chars", "lines_removed")
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What whole lines cannot find: passages of 50 or more words, wherever lines end."""
+    return passage_dedup.dedup_passages(read(spark, sf_dir, "documents"), removed_col="words_removed").select("doc_id", "text", "n_chars", "words_removed")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op3_passage_dedup": op3_passage_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
