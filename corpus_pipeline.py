@@ -6,7 +6,7 @@ the last returns the packing manifest.
 
 Defined results: a null, empty or blank text is rejected by the quality rules; a document that line dedup leaves without text is dropped there;
 of each group of similar documents the lowest id stays, and of rows that share an id one; a document that holds a benchmark item is dropped whole; empty tables give
-empty results.  With too few labels the quality rules keep all that has text.
+empty results.  Toxic texts are rejected with those of low quality.  With too few labels the quality rules keep all that has text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from duskwatch.llm.common import new_path, read, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+    labels = read(spark, sf_dir, "labels")
+    return quality_rules.keep(docs, quality_rules.train(docs, labels), toxic=quality_rules.train_toxic(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

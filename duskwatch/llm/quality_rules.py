@@ -6,6 +6,10 @@ feature of its own.  The weights are fitted by AdaGrad with an L2 penalty on lab
 mapped to a probability by Platt scaling on labelled rows held out of the fit, and the probability is
 compared with fixed thresholds.
 
+Toxic texts are told by a few words among many, which a relative frequency does not show.  A second model has the hashed words that
+occur in toxic labelled rows more often than chance allows (`TOXIC_Z` standard deviations), each counted once a text, with smoothed log-odds as
+weights.  Its probability has a fixed threshold of its own, beyond which a text is rejected whatever its quality.
+
 Plan: the labelled rows to fit on are the `max_rows` with the lowest id hash, picked from the narrow label
 table; that bounded list is broadcast to fetch their texts, and the model is fitted on the driver.  Scoring is
 one pass over the documents in Arrow batches, without a shuffle: the score is linear in the
@@ -17,12 +21,13 @@ Defined results
 * Ids labelled both ways are left out of the fit; repeated equal labels count once; null labels and ids are ignored.
 * With fewer than `MIN_CLASS` labelled documents of either kind there is nothing to learn: every
   document that has text gets a null probability and decision ``keep``.
+* The same holds for the labels of the toxic model; without one ``p_toxic`` is null and rejects nothing.  A text without words to weigh has the share of toxic rows among the labelled ones.
 * Repeated rows are scored alike; a null id is carried along.  Only ids and texts are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +38,18 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import slices
 
-MAX_ROWS = 4000
+MAX_ROWS = 6000
 KEEP_AT = 0.5
 HIGH_AT = 0.9
+TOXIC_AT = 0.5
+TOXIC_Z = 6.0
+TOXIC_PURE = 0.8  # share of toxic rows among those that have the word
+TOXIC_ROWS, TOXIC_SHARE = 5, 0.003  # labelled rows that a word must occur in, and their share: copies of a few texts make no rule
+TOXIC_BITS = 20
 MIN_CLASS = 8
 BITS = 18
 GROUPS = 4
-SCHEMA = "doc_id long, p_quality double, grade string, decision string"
+SCHEMA = "doc_id long, p_quality double, grade string, decision string, p_toxic double"
 _U = np.uint32
 
 
@@ -160,7 +170,42 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 0.5, l2:
     return Model(w.astype(np.float32), float(bias), slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model | None:
+def _present(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the distinct word buckets of each text."""
+    h, at = textops.words(texts)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(at))
+    k = np.unique((doc << TOXIC_BITS) | (h >> np.uint64(64 - TOXIC_BITS)).astype(np.int64))
+    return k >> TOXIC_BITS, k & ((1 << TOXIC_BITS) - 1)
+
+
+@dataclass
+class Toxic:
+    weights: np.ndarray  # of word buckets
+    bias: float
+
+    def probability(self, texts: list[str | None]) -> np.ndarray:
+        d, b = _present(texts)
+        s = self.bias + np.bincount(d, weights=self.weights[b], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+def fit_toxic(texts: list[str], y: np.ndarray) -> Toxic | None:
+    """The words that mark toxic texts, with their weights.  None if either class is too small."""
+    if min(int(y.sum()), int(len(y) - y.sum())) < MIN_CLASS:
+        return None
+    n, pos = np.zeros(1 << TOXIC_BITS), np.zeros(1 << TOXIC_BITS)
+    for i in range(0, len(texts), 256):
+        d, b = _present(texts[i : i + 256])
+        n += np.bincount(b, minlength=len(n))
+        pos += np.bincount(b, weights=y[i : i + 256][d], minlength=len(n))
+    share = y.mean()
+    bias = float(np.log(share / (1 - share)))
+    z = (pos - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+    w = np.where((z > TOXIC_Z) & (pos >= TOXIC_PURE * n) & (n >= max(TOXIC_ROWS, TOXIC_SHARE * len(y))), np.log((pos + 0.5) / (n - pos + 0.5)) - bias, 0.0)
+    return Toxic(w.astype(np.float32), bias)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, how: Callable = fit) -> Model | Toxic | None:
     """A model fitted on at most `max_rows` labelled rows of `docs`."""
     one = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y_max")).where("y = y_max").select("id", "y")
@@ -170,41 +215,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not got.num_rows:
         return None
     got = got.sort_by([("k", "ascending"), ("id", "ascending"), ("t", "ascending")])
-    return fit(got["t"].to_pylist(), got["y"].to_numpy().astype(float))
+    return how(got["t"].to_pylist(), got["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, high_at: float = HIGH_AT) -> DataFrame:
-    """(doc_id, p_quality, grade, decision) of every row of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def train_toxic(docs: DataFrame, labels: DataFrame, **options) -> Toxic | None:
+    """The model of toxic texts, fitted as `train` does."""
+    return train(docs, labels, **{"label_col": "toxic", "how": fit_toxic} | options)
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, high_at: float = HIGH_AT, toxic: Toxic | None = None, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """(doc_id, p_quality, grade, decision, p_toxic) of every row of `docs`."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, tox = shared.value
         for b in batches:
             for begin, texts in slices(b, 1):
-                p = _decide(m, texts)
+                p, q = _decide(m, texts), _decide(tox, texts)
                 grade = ["none" if x is None else "high" if x >= high_at else "fair" if x >= keep_at else "low" for x in p]
-                decision = ["keep" if x is None or x >= keep_at else "reject" for x in p]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(texts)), pa.array(p, pa.float64()), pa.array(grade), pa.array(decision)], names=["doc_id", "p_quality", "grade", "decision"])
+                decision = ["keep" if _kept(x, y, keep_at, toxic_at) else "reject" for x, y in zip(p, q, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(texts)), pa.array(p, pa.float64()), pa.array(grade), pa.array(decision), pa.array(q, pa.float64())], names=["doc_id", "p_quality", "grade", "decision", "p_toxic"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
-def _decide(model: Model | None, texts: list[str | None]) -> list[float | None]:
+def _kept(p: float | None, toxic: float | None, keep_at: float, toxic_at: float) -> bool:
+    return (p is None or p >= keep_at) and (toxic is None or toxic < toxic_at)
+
+
+def _decide(model: Model | Toxic | None, texts: list[str | None]) -> list[float | None]:
     has = [bool(t and t.strip()) for t in texts]
     if model is None:
         return [None if h else 0.0 for h in has]
     return [round(float(x), 6) if h else 0.0 for h, x in zip(has, model.probability(texts), strict=True)]
 
 
-def keep(docs: DataFrame, model: Model | None, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+def keep(docs: DataFrame, model: Model | None, text_col: str = "text", keep_at: float = KEEP_AT, toxic: Toxic | None = None, toxic_at: float = TOXIC_AT) -> DataFrame:
     """The rows of `docs` that are not rejected, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, toxic))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, tox = shared.value
         for b in batches:
-            mask = [x is None or x >= keep_at for _, texts in slices(b, at) for x in _decide(m, texts)]
+            mask = [_kept(x, y, keep_at, toxic_at) for _, texts in slices(b, at) for x, y in zip(_decide(m, texts), _decide(tox, texts), strict=True)]
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

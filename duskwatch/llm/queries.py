@@ -37,8 +37,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return quality_rules.score(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality_rules.score(docs, quality_rules.train(docs, labels), toxic=quality_rules.train_toxic(docs, labels))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
