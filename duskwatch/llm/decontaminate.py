@@ -17,7 +17,7 @@ Defined results
 * Null and empty texts contain nothing and are contained in nothing.  An item of fewer than `window` tokens is one window of all its tokens;
   one of fewer than three tokens matches nothing.
 * Template windows of more than half placeholders, or of none, are not used.
-* Repeated documents give their rows each, repeated items with one id count once (the greatest text), a null item id is ignored; a null doc id is carried along.
+* Repeated documents give their rows each, equal items (id and text) count once, the texts of one id are items of their own, and a null item id is reported as null; a null doc id is carried along.
 * An empty benchmark finds nothing.  Only ids and texts are read, so other columns cannot clash; `clean` passes the rest through.
 """
 
@@ -192,7 +192,7 @@ class Table:
 class Benchmark:
     """Items in both forms, with their windows by size."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[str]
     window: int = WINDOW
     forms: Forms = field(init=False)
@@ -301,10 +301,10 @@ def _at_template(bench: Benchmark, item: int, plain_pos: int) -> int:
 
 def parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, part_items: int = PART_ITEMS) -> Iterator[Benchmark]:
     """The benchmark in parts of about `part_items` items."""
-    one = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t <> ''").groupBy("i").agg(F.max("t").alias("t"))
+    one = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t <> ''").distinct()
     n = max(1, -(-one.count() // part_items))
     for k in range(n):
-        got = one.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i").toArrow()
+        got = one.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").toArrow()
         if got.num_rows:
             yield Benchmark(got["i"].to_pylist(), got["t"].to_pylist(), window)
 

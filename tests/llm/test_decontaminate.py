@@ -96,3 +96,15 @@ def test_long_text(spark, documents):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(1, "filler words here " * 100000 + Q)]
     assert [r.item_id for r in D.contaminated(documents(rows), bench).collect()] == [1]
+
+
+def test_every_text_of_an_id_and_items_without_one(spark, documents):
+    a = "which quiet harbour did the oldest of the seven pilots choose before the storm came"
+    b = "name the metal that melts first when all of these bars are heated slowly in a kiln"
+    c = "some text without an id of more than eight words about rivers and their many bridges"
+    bench = spark.createDataFrame([(0, a), (0, b), (0, b), (None, c)], "item_id long, text string")
+    df = documents([(1, a), (2, b), (3, c), (4, "nothing of the kind")])
+    for part in (100, 1):
+        got = [(r.doc_id, r.item_id, r.kind) for r in D.contaminated(df, bench, part_items=part).orderBy("doc_id").collect()]
+        assert got == [(1, 0, "verbatim"), (2, 0, "verbatim"), (3, None, "verbatim")]
+        assert [r.doc_id for r in D.clean(df, bench, part_items=part).collect()] == [4]
