@@ -606,6 +606,14 @@ def _(spark, sf_dir):
     return got.select("doc_id", "yara.rule", F.col("yara.strings")[0]["offset"].alias("first_offset"))
 
 
+@query("yara_byte_scan_all", "SELECT doc_id, 'bytes' AS rule, octet_length(encode(substr(text, 1, strpos(text, 'License') - 1))) AS first_offset FROM documents WHERE strpos(text, 'License') > 0")
+def _(spark, sf_dir):
+    """As `yara_byte_scan`, over every document: offsets are bytes, whatever the text."""
+    rules = yara.parse('rule bytes { strings: $h = { 4C ?? 63 65 [2] 65 } condition: $h }')
+    got = yara.scan(documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("content")), rules)
+    return got.select("doc_id", "yara.rule", F.col("yara.strings")[0]["offset"].alias("first_offset"))
+
+
 @query("yara_triggers", T + "SELECT DISTINCT Image AS path, coalesce(ProcessId, CAST(header_pid AS VARCHAR)) AS pid FROM t WHERE category = 'Process' AND Image IS NOT NULL AND NOT starts_with(lower(Image), 'c:\\windows\\')")
 def _(spark, sf_dir):
     return yara.triggers(V.telemetry(spark, sf_dir), ("C:/Windows",))
