@@ -127,6 +127,7 @@ class Scanner:
         self.automaton = Automaton(ids)
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
         self.least = min([min_match, *self.sizes])
+        self.ones = np.array(sorted({q[0] for q in ids if len(q) == 1}), dtype=np.int64)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Token ids of word hashes; -1 for a word of no template."""
@@ -144,8 +145,14 @@ class Scanner:
         edge = np.diff(np.concatenate([[0], pair.astype(np.int8), [0]]))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1  # of tokens
         long = end - begin >= max(2, self.least)
+        runs = list(zip(begin[long].tolist(), end[long].tolist(), strict=True))
+        if len(self.ones):  # a template of one token needs no pair
+            alone = np.isin(ids, self.ones)
+            alone[1:] &= ~pair
+            alone[:-1] &= ~pair
+            runs = sorted(runs + [(i, i + 1) for i in np.flatnonzero(alone).tolist()])
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+        for b, e in runs:
             d = int(doc[b])
             for stop, n, s in self.automaton.matches(ids[b:e].tolist()):
                 hits.setdefault(d, []).append((b + stop - int(at[d]), n, s))
