@@ -10,8 +10,7 @@ TIERS = (8, 32, 128)
 
 def brute(rows, tiers=TIERS, step_tokens=256):
     """The same rules by plain search."""
-    big = 2**63 - 1
-    pieces = [(min(tiers[-1], n - s), big if i is None else i, s) for i, n in rows for s in range(0, n, tiers[-1])]
+    pieces = [(min(tiers[-1], n - s), (i is None, i or 0), s) for i, n in rows for s in range(0, n, tiers[-1])]
     tier = {p_: next(t for t in tiers if t >= p_[0]) for p_ in pieces}
     left = sorted(pieces, key=lambda p: (-p[0], p[1], p[2]))
     out = []
@@ -39,7 +38,7 @@ def brute(rows, tiers=TIERS, step_tokens=256):
             turn, g = divmod(rank, n)
             at = 0
             for q in windows[k]:
-                out.append((cap, k, g if turn % 2 == 0 else n - 1 - g, at, None if q[1] == big else q[1], q[2], q[0]))
+                out.append((cap, k, g if turn % 2 == 0 else n - 1 - g, at, None if q[1][0] else q[1][1], q[2], q[0]))
                 at += q[0]
     return sorted(out, key=str)
 
@@ -89,3 +88,21 @@ def test_shards_match_packing_each_alone(spark, documents):
         ids = {r.doc_id for r in own}
         want = brute([(i, len(t) + 1) for i, t in rows if i in ids])
         assert sorted(((r.tier, r.window, r.step_group, r.window_offset, r.doc_id, r.piece_start, r.piece_len) for r in own), key=str) == want
+
+
+def test_any_long_is_an_id_and_null_is_none():
+    got = pack([(2**63 - 1, 5), (7, 4), (None, 5), (-(2**63), 3)], TIERS, 256)
+    assert sorted((r[4] is None, r[4] or 0, r[6]) for r in got) == [(False, -(2**63), 3), (False, 7, 4), (False, 2**63 - 1, 5), (True, 0, 5)]
+
+
+def test_rows_of_null_ids_only_fill_all_shards(spark, documents):
+    rng = random.Random(2)
+    lengths = [rng.randrange(1, 300) for _ in range(1000)] + [40] * 1000
+    got = pack_documents(documents([(None, "x" * n) for n in lengths]), tiers=TIERS, step_tokens=256, shard_docs=250).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+        assert r.doc_id is None
+    assert len(by) == 8 and max(len(v) for v in by.values()) < 3 * len(got) / 8
+    assert sum(r.piece_len for r in got) == sum(n + 1 for n in lengths)
+    assert sorted(r.piece_len for r in got if r.piece_start == 0) == sorted(min(128, n + 1) for n in lengths)
