@@ -9,13 +9,14 @@ be consistent: each value of a slot in the item corresponds to one value in the
 `min_consistency` of the aligned slots; so a question with other numbers and names is caught and a chance likeness is not.
 
 Plan: a broadcast hash join, probed in Arrow batches, in one pass over the documents and without a shuffle.  The benchmark side is collected
-in parts of at most `part_items` items, each broadcast by itself, so what is broadcast is bounded; a benchmark beyond that costs a
-pass over the documents for each part.
+in parts of about `part_items` items and `part_bytes` of text, each broadcast by itself, so what is broadcast is bounded; a benchmark beyond that costs a
+pass over the documents for each part.  The windows of a slice of documents are hashed once for each window size, however many items are found in it.
 
 Defined results
 ---------------
 * Null and empty texts contain nothing and are contained in nothing.  An item of fewer than `window` tokens is one window of all its tokens;
-  one of fewer than three tokens matches nothing.
+  one of one or two tokens is found only where it is the whole document (verbatim), since such words stand in clean texts too; one without any token nowhere.
+* Slots are aligned by votes: of the values that a slot's value meets, the most frequent one is its counterpart, ties by (kind, value in the item, value in the document) in order of bytes.
 * Template windows of more than half placeholders, or of none, are not used.
 * Repeated documents give their rows each, equal items (id and text) count once, the texts of one id are items of their own, and a null item id is reported as null; a null doc id is carried along.
 * An empty benchmark finds nothing.  Only ids and texts are read, so other columns cannot clash; `clean` passes the rest through.
@@ -38,6 +39,7 @@ WINDOW = 8
 MIN_COVER = 0.5
 MIN_CONSISTENCY = 0.8
 PART_ITEMS = 100_000
+PART_BYTES = 16 << 20
 WORD, NUM, UNIT, NAME = range(4)
 SCHEMA = "doc_id long, item_id long, kind string, coverage double, slots int, consistency double"
 UNITS = {
@@ -205,6 +207,9 @@ class Benchmark:
         self.plain_at = np.searchsorted(f.plain_doc, bounds)
         self.template_at = np.searchsorted(f.template_doc, bounds)
         self.plain, self.template = {}, {}
+        self.whole: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(np.isin(np.diff(self.plain_at), (1, 2))).tolist():
+            self.whole.setdefault(f.plain[self.plain_at[i] : self.plain_at[i + 1]].tobytes(), []).append(i)
         for tables, at, doc, made in ((self.plain, self.plain_at, f.plain_doc, lambda n: windows(f.plain, f.plain_doc, n)), (self.template, self.template_at, f.template_doc, lambda n: template_windows(f, n))):
             lens = np.diff(at)
             for n in sorted({min(self.window, int(x)) for x in lens if x >= 3}):
@@ -265,6 +270,27 @@ def find(texts: list[str | None], bench: Benchmark, min_cover: float = MIN_COVER
         for p, i, q in t.probe(*template_windows(f, n)):
             hits[1].setdefault((int(f.template_doc[p]), i), []).append((p, q, n))
     out = []
+    # windows without a slot are the same in both forms
+    held = np.concatenate([[0], np.cumsum(f.kind != WORD)])
+    bare: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for n in bench.plain if hits[1] else ():
+        h, at = windows(f.template, f.template_doc, n)
+        ok = held[at + n] == held[at]
+        bare[n] = h[ok], at[ok], np.searchsorted(f.template_doc[at[ok]], np.arange(len(texts) + 1))
+    probed: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+
+    def also(d: int) -> dict[int, list[tuple[int, int, int]]]:
+        """For each item the windows of a text that have no slot."""
+        if d not in probed:
+            probed.clear()  # texts come in order
+            found: dict[int, list[tuple[int, int, int]]] = {}
+            for n, (h, at, bounds) in bare.items():
+                own = slice(bounds[d], bounds[d + 1])
+                for p, i, q in bench.plain[n].probe(h[own], at[own]):
+                    found.setdefault(i, []).append((p, q, n))
+            probed[d] = found
+        return probed[d]
+
     for d, i in sorted({*hits[0], *hits[1]}):
         size = int(bench.plain_at[i + 1] - bench.plain_at[i])
         cover = max((_cover(c, size) for c in _clusters(hits[0].get((d, i), []), size) if c), default=0.0)
@@ -274,19 +300,19 @@ def find(texts: list[str | None], bench: Benchmark, min_cover: float = MIN_COVER
         size, base = int(bench.template_at[i + 1] - bench.template_at[i]), int(bench.template_at[i])
         best = (0.0, 0.0, 0)
         wordy = hits[1].get((d, i), [])
-        if wordy:  # windows without a slot are the same in both forms; take them at their place in the template
-            for n, t in bench.plain.items():
-                h, at = windows(f.template, f.template_doc, n)
-                own = at[f.template_doc[at] == d]
-                held = np.concatenate([[0], np.cumsum(f.kind != WORD)])
-                bare = held[own + n] == held[own]
-                wordy += [(p, int(_at_template(bench, i, q)), n) for p, j, q in t.probe(h[f.template_doc[at] == d][bare], own[bare]) if j == i and _at_template(bench, i, q) >= 0]
+        if wordy:
+            wordy = wordy + [(p, k, n) for p, q, n in also(d).get(i, []) if (k := _at_template(bench, i, q)) >= 0]
         for c in _clusters(wordy, size):
             if c and (cover := _cover(c, size)) >= min_cover:
                 n, share = _slots(f, bench.forms, base, c)
                 best = max(best, (share, cover, n))
         if best[1] and best[0] >= min_consistency:
             out.append((d, bench.ids[i], "reparameterised", round(best[1], 6), best[2], round(best[0], 6)))
+    if bench.whole:
+        at = np.searchsorted(f.plain_doc, np.arange(len(texts) + 1))
+        for d in np.flatnonzero(np.isin(np.diff(at), (1, 2))).tolist():
+            out += [(d, bench.ids[i], "verbatim", 1.0, 0, 1.0) for i in bench.whole.get(f.plain[at[d] : at[d + 1]].tobytes(), [])]
+        out.sort(key=lambda r: r[0])
     return out
 
 
@@ -299,10 +325,11 @@ def _at_template(bench: Benchmark, item: int, plain_pos: int) -> int:
     return k if lo + k < hi and g.begin[lo + k] == s else -1
 
 
-def parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, part_items: int = PART_ITEMS) -> Iterator[Benchmark]:
-    """The benchmark in parts of about `part_items` items."""
+def parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, part_items: int = PART_ITEMS, part_bytes: int = PART_BYTES) -> Iterator[Benchmark]:
+    """The benchmark in parts of about `part_items` items and `part_bytes` of text."""
     one = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t <> ''").distinct()
-    n = max(1, -(-one.count() // part_items))
+    items, size = one.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    n = max(1, -(-items // part_items), -(-(size or 0) // part_bytes))
     for k in range(n):
         got = one.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").toArrow()
         if got.num_rows:
