@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 
@@ -67,3 +68,8 @@ def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterato
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def place(id_col: Column, text_col: str) -> Column:
+    """Where a row stands among all: by id, null ids last, then by the hash of its text.  Rows that are equal in both stand in the same place."""
+    return F.struct(id_col.isNull().alias("none"), F.coalesce(id_col.cast("long"), F.lit(0)).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"))

@@ -4,7 +4,7 @@ Each run of three consecutive non-blank lines of a document is hashed.  A window
 than once in the corpus keeps its first occurrence (lowest ``doc_id``, then lowest position);
 the positions that its later occurrences cover are merged, and those lines go.
 
-Plan: the window hashes (16 bytes a line, never the text) are shuffled once for the aggregate,
+Plan: the window hashes (with the place of their row, never the text) are written once, shuffled once for the aggregate,
 which combines on the map side, and once for the join that finds later occurrences; a hot
 window thus costs one row a task in the former, and AQE splits it in the latter.  The text
 moves once, to meet the hashes that its document has to give up.
@@ -13,9 +13,8 @@ Defined results
 ---------------
 * A null text stays null; an empty text, and one of fewer than three non-blank lines, stays as it is.
 * Lines are compared without surrounding blanks, tabs and carriage returns; a blank line belongs to no window and stays.
-* Rows that share a ``doc_id`` count as one document when occurrences are ordered, so they do not
-  take lines from each other; null ids come last and count as one document.  Within a row the
-  first occurrence of a window stays.
+* Rows that share a ``doc_id`` are ordered by the hash of their text, and so are rows with null ids, which come after all others.  Rows that are equal in id and text (64 bits of its hash)
+  are one document: they do not take lines from each other.  Within a row the first occurrence of a window stays.
 * Columns other than id, text and ``n_chars`` pass through unchanged, whatever their names.
 """
 
@@ -31,11 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .common import slices
+from .common import place, slices, written
 
 WINDOW = 3
 BLANK = " \t\r"
-LAST_ID = 2**63 - 1
 _REMOVED = "__later_windows__"
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,26 +56,34 @@ def _windows(texts: list[str | None], n: int) -> tuple[list[list[str]], list[np.
 
 
 def window_hashes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(h, id): the distinct windows of each row."""
+    """(h, none, id, t): the distinct windows of each row, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for begin, texts in slices(b, 1):
+            for begin, texts in slices(b, 0):
                 _, _, keys = _windows(texts, n)
                 keys = [np.unique(k) for k in keys]
                 row = np.repeat(np.arange(begin, begin + len(texts)), [len(k) for k in keys])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids.take(pa.array(row))], names=["h", "id"])
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(b.column(i).take(row) for i in (1, 2, 3))], names=["h", "none", "id", "t"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "h long, id long")
+    return docs.select(F.col(text_col).alias("text"), place(F.col(id_col), text_col).alias("p")).select("text", "p.*").mapInArrow(run, "h long, none boolean, id long, t long")
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
-    """(id, hashes): the windows that each document shares with an earlier one."""
-    w = window_hashes(docs, id_col, text_col, n)
-    first = w.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
-    return w.join(first, "h").where("id > lo").groupBy("id").agg(F.collect_set("h").alias(_REMOVED))
+def later(windows: DataFrame, hashes: str = _REMOVED) -> DataFrame:
+    """(none, id, t, hashes): of written (h, none, id, t) the windows that each place shares with an earlier one."""
+    p = F.struct("none", "id", "t")
+    first = windows.groupBy("h").agg(F.min(p).alias("lo"), F.max(p).alias("hi")).where("lo < hi").select("h", "lo")
+    return windows.join(first, "h").where(p > F.col("lo")).groupBy("none", "id", "t").agg(F.collect_set("h").alias(hashes))
+
+
+def meet(docs: DataFrame, given_up: DataFrame, id_col: str, text_col: str, hashes: str = _REMOVED) -> DataFrame:
+    """`docs` with one column more: what each row has to give up."""
+    keyed = docs.withColumn("__place__", place(F.col(id_col), text_col))
+    own = given_up.select(F.struct("none", "id", "t").alias("__given__"), hashes)
+    same = [F.col(f"__place__.{x}") == F.col(f"__given__.{x}") for x in ("none", "id", "t")]
+    return keyed.join(own.hint("shuffle_hash"), same, "left").drop("__place__", "__given__")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, removed_col: str | None = None) -> DataFrame:
@@ -85,8 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``n_chars``, where there is one, follows the new text.  `removed_col` names a column to add with the number of lines cut.
     """
-    later = later_windows(docs, id_col, text_col, n).withColumnRenamed("id", "__id__")
-    joined = docs.join(later.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == later["__id__"], "left").drop(later["__id__"])
+    joined = meet(docs, later(written(window_hashes(docs, id_col, text_col, n), "windows")), id_col, text_col)
     names = docs.columns
     at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
     schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])

@@ -6,8 +6,8 @@ first occurrence (lowest ``doc_id``, then lowest position); the words that its l
 
 Plan: of each window the least of its 26 hashes of 25 words is its mark.  Equal windows have equal marks, and neighbours mostly share theirs, so
 the marks (about one in 13 words) are shuffled first.  Those of more than one document go into a bit set of fixed size, which is broadcast; only
-windows whose mark is in it are shuffled in full.  A false hit there costs a row and changes nothing.  The text moves once, to meet the windows
-that its document has to give up.
+windows whose mark is in it are shuffled in full.  A false hit there costs a row and changes nothing.  Windows whose mark more than `HOT` documents have are spread by document
+over `SPREAD` tasks; the first of each task meet once more.  The text moves once, to meet the windows that its document has to give up.
 
 Defined results
 ---------------
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .common import slices
+from .common import place, slices
+from .line_dedup import meet
 
 WINDOW = 50
 HALF = 25
-LAST_ID = 2**63 - 1
 SIEVE_BITS = 27
+HOT = 20_000
+SPREAD = 64
 _LATER = "__later_passages__"
 _U = np.uint64
 _WORD = np.ones(256, dtype=bool)
@@ -94,18 +96,18 @@ def passages(texts: list[str | None]) -> Passages:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, name: str, pick) -> DataFrame:
-    """(name, id): the distinct hashes that `pick` takes from the windows of each row."""
+    """(name, hot, none, id, t): the distinct hashes that `pick` takes from the windows of each row, whether each is hot, and the row's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, texts in slices(b, 1):
-                h, d = pick(passages(texts))
+            for begin, texts in slices(b, 0):
+                h, d, hot = pick(passages(texts))
                 if len(h):
                     h, bounds = textops.unique_per_doc(h, d, len(texts))
-                    row = np.repeat(np.arange(begin, begin + len(texts)), np.diff(bounds))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row))], names=[name, "id"])
+                    row = pa.array(np.repeat(np.arange(begin, begin + len(texts)), np.diff(bounds)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.isin(h, hot)), *(b.column(i).take(row) for i in (1, 2, 3))], names=[name, "hot", "none", "id", "t"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"{name} long, id long")
+    return docs.select(F.col(text_col).alias("text"), place(F.col(id_col), text_col).alias("p")).select("text", "p.*").mapInArrow(run, f"{name} long, hot boolean, none boolean, id long, t long")
 
 
 def _place(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,27 +115,41 @@ def _place(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mark >> _U(64 - SIEVE_BITS + 6)).astype(np.int64), (mark >> _U(64 - SIEVE_BITS)) & _U(63)
 
 
-def shared_marks(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """A bit set with the marks that more than one document has."""
-    m = _rows(docs, id_col, text_col, "m", lambda p: (p.mark, p.doc)).groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+def shared_marks(docs: DataFrame, id_col: str, text_col: str, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit sets: the marks that more than one document has, and those that more than `hot` have."""
+    none = np.zeros(0, dtype=_U)
+    p = F.struct("none", "id", "t")
+    m = _rows(docs, id_col, text_col, "m", lambda p: (p.mark, p.doc, none)).groupBy("m").agg(F.min(p).alias("lo"), F.max(p).alias("hi"), F.count("*").alias("c")).where("lo < hi")
     w, bit = F.shiftrightunsigned("m", 64 - SIEVE_BITS + 6), F.shiftrightunsigned("m", 64 - SIEVE_BITS).bitwiseAND(F.lit(63)).cast("int")
-    got = m.select(w.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    sieve = np.zeros(1 << (SIEVE_BITS - 6), dtype=_U)
-    sieve[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(_U)
-    return sieve
-
-
-def later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hashes): the windows that each document shares with an earlier one."""
-    shared = docs.sparkSession.sparkContext.broadcast(shared_marks(docs, id_col, text_col))
-
-    def pick(p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    b = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    got = m.select(w.alias("w"), b.alias("b"), F.when(F.col("c") > hot, b).otherwise(0).alias("hot")).groupBy("w").agg(F.bit_or("b").alias("b"), F.bit_or("hot").alias("hot")).toArrow()
+    out = []
+    for name in ("b", "hot"):
+        sieve = np.zeros(1 << (SIEVE_BITS - 6), dtype=_U)
+        sieve[got["w"].to_numpy()] = got[name].to_numpy().astype(np.int64).view(_U)
+        out.append(sieve)
+    return out[0], out[1]
+
+
+def later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(none, id, t, hashes): the windows that each row shares with an earlier one."""
+    marks = shared_marks(docs, id_col, text_col, hot)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def pick(p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w, bit = _place(p.mark)
-        hit = (shared.value[w] >> bit) & _U(1) > 0
-        return p.key[hit], p.doc[hit]
+        hit = (shared.value[0][w] >> bit) & _U(1) > 0
+        key = p.key[hit]
+        return key, p.doc[hit], key[(shared.value[1][w[hit]] >> bit[hit]) & _U(1) > 0]
 
-    rows = _rows(docs, id_col, text_col, "h", pick).withColumn("lo", F.min("id").over(Window.partitionBy("h")))
-    return rows.where("id > lo").groupBy("id").agg(F.collect_list("h").alias(_LATER))
+    p = F.struct("none", "id", "t")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("none", "id", "t"), F.lit(SPREAD))).otherwise(0)
+    rows = _rows(docs, id_col, text_col, "h", pick).withColumn("part", part).withColumn("lo", F.min(p).over(Window.partitionBy("h", "part")))
+    found = rows.where(p > F.col("lo")).select("none", "id", "t", "h")
+    if marks[1].any():  # of a hot window the first of each part meet
+        ends = rows.where(F.col("hot") & (p == F.col("lo"))).select("h", "none", "id", "t").distinct().withColumn("lo", F.min(p).over(Window.partitionBy("h")))
+        found = found.unionByName(ends.where(p > F.col("lo")).select("none", "id", "t", "h"))
+    return found.groupBy("none", "id", "t").agg(F.collect_set("h").alias(_LATER))
 
 
 def _cut(p: Passages, i: int, covered: np.ndarray) -> str:
@@ -154,13 +170,12 @@ def _cut(p: Passages, i: int, covered: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, hot: int = HOT) -> DataFrame:
     """`docs` with later occurrences of repeated passages cut from the text.
 
     ``n_chars``, where there is one, follows the new text.  `removed_col` names a column to add with the number of words cut.
     """
-    later = later_passages(docs, id_col, text_col).withColumnRenamed("id", "__id__")
-    joined = docs.join(later.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == later["__id__"], "left").drop(later["__id__"])
+    joined = meet(docs, later_passages(docs, id_col, text_col, hot), id_col, text_col, _LATER)
     names = docs.columns
     at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
     schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])

@@ -48,6 +48,15 @@ def test_repeated_rows_and_null_ids(spark, documents):
     assert got == [(-1, "q"), (-1, "r\ns\nt"), (-1, "r\ns\nt"), (7, "a\nb\nc\nd"), (7, "a\nb\nc\nd")]
 
 
+def test_rows_without_ids_and_of_one_id_lose_lines_to_each_other(spark, documents):
+    for i in (None, 5):
+        rows = [(i, f"own {k}\na\nb\nc\nend {k}") for k in range(20)] + [(2**63 - 1 if i is None else 6, "a\nb\nc")]
+        got = [(r.doc_id, r.text) for r in dedup_lines(documents(rows)).collect()]
+        whole = [(d, t) for d, t in got if "a\nb\nc" in t]
+        assert whole == ([(2**63 - 1, "a\nb\nc")] if i is None else whole) and len(whole) == 1
+        assert sorted(t for d, t in got if d == i and "a" not in t.split("\n")) == sorted(f"own {k}\nend {k}" for k in range(20) if f"own {k}\n" not in whole[0][1])
+
+
 def test_empty_table_and_clashing_columns(spark, documents):
     assert dedup_lines(documents([])).count() == 0
     df = documents([(1, "a\nb\nc"), (2, "a\nb\nc\nd")], extra="h,id,hashes,lo,hi,pos,bucket")

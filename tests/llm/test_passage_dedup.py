@@ -56,6 +56,22 @@ def test_passage_within_one_line(spark, documents):
     assert {r.doc_id: r.text for r in P.lines(spark, documents(rows), "").collect()} == {1: want[1], 2: want[2]}
 
 
+def test_hot_windows_are_spread_and_the_first_stays(spark, documents):
+    rng = random.Random(8)
+    text = [words(rng, 70), words(rng, 55)]
+    rows = [(i, " ".join(words(rng, 5) + text[i % 2] + words(rng, 5))) for i in range(120)]
+    got = {r.doc_id: (r.text.split(), r.cut) for r in dedup_passages(documents(rows).repartition(5), removed_col="cut", hot=10).collect()}
+    assert got == covered(rows)
+    assert sum(c > 0 for _, c in got.values()) == 118
+
+
+def test_rows_without_ids_lose_passages_to_each_other(spark, documents):
+    rng = random.Random(9)
+    text = " ".join(words(rng, 60))
+    got = [r.text for r in dedup_passages(documents([(None, f"own{k} {text}") for k in range(10)])).collect()]
+    assert sum(text in t for t in got) == 1 and sum(len(t.split()) == 1 for t in got) == 9
+
+
 def test_ids_repeats_and_columns(spark, documents):
     rng = random.Random(7)
     text = " ".join(words(rng, 50))
