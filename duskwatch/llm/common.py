@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def place(id_col: Column, text_col: str) -> Column:
     """Where a row stands among all: by id, null ids last, then by the hash of its text.  Rows that are equal in both stand in the same place."""
     return F.struct(id_col.isNull().alias("none"), F.coalesce(id_col.cast("long"), F.lit(0)).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+
+
+def arrow_uri(uri: str) -> str:
+    """An address as Hadoop writes it, as Arrow reads it."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return "s3:" + rest
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return "file:///" + rest.lstrip("/") if scheme == "file" else uri
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address in the shared folder, and the path in it."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import filesystem, slices
 from .token_counts import VOCAB, encoder, pieces
 
 INDEX_SCHEMA = "file string, record long, doc_id long, offset long, length long, n_tokens long, crc long"
@@ -120,7 +119,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = filesystem(path)
         name = f"part-{part:06d}.records"
         width = 2 if encoder(vocab).n_vocab <= 1 << 16 else 4
         out, temp = None, f"{root}/_{name}-{uuid.uuid4().hex}"
@@ -147,7 +146,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["file", "record", "doc_id", "offset", "length", "n_tokens", "crc"])
 
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
@@ -160,7 +159,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame | None = None,
     order = index.select("file", "offset", "length", "crc", turn.alias("turn")).repartition(F.col("file")).sortWithinPartitions("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = filesystem(path)
         files: dict[str, pa.NativeFile] = {}
         for b in batches:
             for begin in range(0, b.num_rows, 512):

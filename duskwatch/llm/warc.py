@@ -6,14 +6,16 @@ reader searches for the next gzip member or version line that begins a record th
 
 Plan: compressed files are read in splits of `split_bytes`.  A record belongs to the split in which its member begins; a split finds its first member by the same search that salvages, and
 goes on past its end to the next one, so that what lies between two splits is read or logged once, by the former.  An uncompressed file is one split, since a page may quote a version line.
-A task holds one record and one block of the file at a time.  Nothing is shuffled but the list of splits.
+A task holds one block of the file, and `held` bytes of a member or record at most: what is longer is checked as a stream first, and read again in parts.
+Nothing is shuffled but the list of splits.
 
 Defined results
 ---------------
 * Each record and each gap is one row; empty files and folders give none.  A file of noise is one gap.
-* Several records in one member are all read; of such a member, a part that fails is a gap with its place inside the member, and the records after it are recovered.  A member that does not decompress to the end is one
-  gap: none of what it held is trusted.
-* A record longer than `most_bytes` decompressed is quarantined.
+* A block longer than `held` comes in several rows: the record, then rows of kind ``continuation`` with the same offsets and parts numbered from 1.  No length is refused.
+* Several records in one member are all read; of such a member, a part that fails is a gap with its place inside the member, and the records after it are recovered.
+* Of a member that does not decompress to the end, or whose checksum is wrong, only records with a right SHA-1 digest are trusted.  The member is a gap all the same, whose `inner_offset` says up to where it was read.
+* Headers end within `MOST_HEADERS` bytes, else the record fails.
 * The writer gives null bodies and null addresses back as nulls, empty ones as empty, repeated rows as often as they come; ids may be null.
   White space within an address becomes one blank.
 """
@@ -25,7 +27,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,16 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import filesystem, new_path
 
 SPLIT_BYTES = 32 << 20
-MOST_BYTES = 1 << 30
+HELD = 64 << 20
+MOST_HEADERS = 64 << 20
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-SCHEMA = "path string, kind string, offset long, length long, inner_offset long, warc_type string, target_uri string, headers map<string,string>, body binary, reason string"
+SCHEMA = "path string, kind string, offset long, length long, inner_offset long, part int, warc_type string, target_uri string, headers map<string,string>, body binary, reason string"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
-_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
-_NAMES = ["path", "kind", "offset", "length", "inner_offset", "warc_type", "target_uri", "headers", "body", "reason"]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+_NAMES = ["path", "kind", "offset", "length", "inner_offset", "part", "warc_type", "target_uri", "headers", "body", "reason"]
 
 
 def digest(block: bytes) -> str:
@@ -61,8 +65,8 @@ def member(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The record at a place: its end, headers and block; or what is wrong."""
+def head(data: bytes, at: int) -> tuple[int, dict[str, str], int] | str:
+    """Of the record at a place: where its block begins, its headers, and the length that it says; or what is wrong."""
     m = _VERSION.match(data, at)
     if not m:
         return "version line"
@@ -83,22 +87,40 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
                 return "headers"
             last = name
             headers[name] = value.strip()
-    low = {k.lower(): v for k, v in headers.items()}
-    size = low.get("content-length", "")
+    size = _header(headers, "content-length")
     if not size.isascii() or not size.isdigit():
         return "content length"
-    begin = stop + skip
-    end = begin + int(size)
+    return stop + skip, headers, int(size)
+
+
+def _header(headers: dict[str, str], name: str) -> str:
+    return {k.lower(): v for k, v in headers.items()}.get(name, "")
+
+
+def _tail(tail: bytes) -> int:
+    """The length of the two line ends after a block; 0 if they aren't there."""
+    return 4 if tail == b"\r\n\r\n" else 2 if tail[:2] == b"\n\n" else 0
+
+
+def _digested(headers: dict[str, str]) -> bool:
+    return _header(headers, "warc-block-digest").lower().startswith("sha1:")
+
+
+def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
+    """The record at a place: its end, headers and block; or what is wrong."""
+    got = head(data, at)
+    if isinstance(got, str):
+        return got
+    begin, headers, size = got
+    end = begin + size
     block = data[begin:end]
-    tail = data[end : end + 4]
-    if len(block) < int(size):
+    if len(block) < size:
         return "truncated"
-    if tail != b"\r\n\r\n" and tail[:2] != b"\n\n":
+    if not (skip := _tail(data[end : end + 4])):
         return "record end"
-    said = low.get("warc-block-digest", "")
-    if said.lower().startswith("sha1:") and said.upper() != digest(block).upper():
+    if _digested(headers) and _header(headers, "warc-block-digest").upper() != digest(block).upper():
         return "digest"
-    return end + (4 if tail == b"\r\n\r\n" else 2), headers, block
+    return end + skip, headers, block
 
 
 class Source:
@@ -127,113 +149,205 @@ class Source:
             offset += len(part) - 4
         return None
 
-    def member(self, offset: int, most: int) -> tuple[int, bytes] | str:
-        """The end of the gzip member at a place, and what it holds."""
-        d, out, total, at = zlib.decompressobj(31), [], 0, offset
+    def inflate(self, offset: int) -> Iterator[tuple[bytes, int, str | None]]:
+        """The pieces that the gzip member at a place holds, and how far each was read; the last is empty and says what is wrong, or nothing."""
+        d, at = zlib.decompressobj(31), offset
         while not d.eof:
             part = self.at(at, BLOCK // 16)
             if not part:
-                return "truncated member"
-            try:
-                piece = d.decompress(part, most + 1 - total)
-            except zlib.error:
-                return "member"
-            total += len(piece)
-            if total > most or d.unconsumed_tail:
-                return "too long"
-            out.append(piece)
+                yield b"", at, "truncated member"
+                return
+            rest = part
+            while rest and not d.eof:
+                before = d.copy()
+                try:
+                    piece = d.decompress(rest, BLOCK)
+                except zlib.error:  # what can be had before it
+                    at += len(part) - len(rest)
+                    for k in range(len(rest)):
+                        try:
+                            piece = before.decompress(rest[k : k + 1])
+                        except zlib.error:
+                            yield b"", at + k, "member"
+                            return
+                        if piece:
+                            yield piece, at + k + 1, None
+                    yield b"", at + len(rest), "member"
+                    return
+                rest = d.unconsumed_tail
+                yield piece, at + len(part) - len(rest), None
             at += len(part) - len(d.unused_data)
-        return at, b"".join(out)
-
-
-def _plain(src: Source, at: int, most: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The uncompressed record at a place in the file."""
-    n = 1 << 14
-    while True:
-        data = src.at(at, n)
-        got = parse(data, 0)
-        if not isinstance(got, str):
-            return at + got[0], got[1], got[2]
-        if got not in ("truncated", "headers", "record end") or at + len(data) >= src.size:
-            return got
-        if n > most:
-            return "too long"
-        if got == "truncated" and (m := re.search(rb"(?i)\ncontent-length:\s*(\d+)", data)):
-            want = int(m[1]) + m.end() + (1 << 14)
-            if want > most + (1 << 15):
-                return "too long"
-            if at + int(m[1]) > src.size:
-                return got
-            n = max(2 * n, want)
-        else:
-            n *= 4
+        yield b"", at, ""
 
-
-def read_one(src: Source, at: int, most: int = MOST_BYTES) -> tuple[int, list[tuple]] | str:
-    """What begins at a place: its end, and rows (kind, inner offset, length, headers, body, reason); or what is wrong."""
-    head = src.at(at, 5)
-    if head[:3] == MAGIC:
-        got = src.member(at, most)
+    def member(self, offset: int, held: int) -> tuple[int, int, bytes | None, str]:
+        """Of the gzip member at a place: its end (or how far it could be read), the length of what it holds, that itself if it is no longer than `held`, and what is wrong."""
+        out, total, at, why = [], 0, offset, ""
+        for piece, at, why in self.inflate(offset):  # noqa: B007
+            total += len(piece)
+            if total <= held:
+                out.append(piece)
+            else:
+                out = []
+        return at, total, b"".join(out) if total <= held else None, why or ""
+
+
+class Flow:
+    """Bytes that are not held: those of the file, or those that the gzip member at `start` holds, as far as it can be read.  Going back in a member begins anew."""
+
+    def __init__(self, src: Source, start: int | None, size: int, held: int) -> None:
+        self.src, self.start, self.size, self.held = src, start, size, held
+        self.begin, self.buf, self.pieces = 0, b"", None
+
+    def get(self, at: int, n: int) -> bytes:
+        """`n` bytes from a place on, fewer at the end."""
+        stop = min(self.size, at + n)
+        if self.start is None:
+            return self.src.at(at, n) if n <= BLOCK else b"".join(self.src.at(k, min(BLOCK, stop - k)) for k in range(at, stop, BLOCK))
+        if self.pieces is None or at < self.begin:
+            self.begin, self.buf, self.pieces = 0, b"", self.src.inflate(self.start)
+        parts = [self.buf]
+        have = self.begin + len(self.buf)
+        while have < stop:
+            piece, _, over = next(self.pieces)
+            if over is not None:
+                break
+            have += len(piece)
+            if have <= at:  # only passed over
+                self.begin, parts = have, []
+            else:
+                parts.append(piece)
+        self.buf = b"".join(parts)
+        if at > self.begin:
+            self.buf, self.begin = self.buf[at - self.begin :], at
+        return self.buf[: stop - at]
+
+    def search(self, at: int) -> int:
+        """The next version line from a place on, or the end."""
+        while at < self.size:
+            part = self.get(at, BLOCK)
+            if m := _VERSION.search(part):
+                return at + m.start()
+            if at + len(part) >= self.size:
+                break
+            at += len(part) - 12
+        return self.size
+
+    def parse(self, at: int) -> tuple[int, dict[str, str], bytes | Iterable[bytes]] | str:
+        """The record at a place: its end, headers and block, in parts if it is longer than what is held; or what is wrong."""
+        n = 1 << 14
+        while True:
+            data = self.get(at, n)
+            got = head(data, 0)
+            if got != "headers" or at + len(data) >= self.size or n >= MOST_HEADERS:
+                break
+            n *= 4
         if isinstance(got, str):
             return got
-        end, data = got
-        rows: list[tuple] = []
-        p, bad, why = 0, None, ""
-        while p < len(data):
-            one = parse(data, p)
-            if isinstance(one, str):
-                bad, why = (p, one) if bad is None else (bad, why)
-                m = _VERSION.search(data, p + 1)
-                p = m.start() if m else len(data)
-                continue
-            if bad is not None:
-                rows.append(("gap", bad, p - bad, None, None, why))
-                bad = None
-            rows.append(("record", p, end - at, one[1], one[2], None))
-            p = one[0]
-        if not any(r[0] == "record" for r in rows):
-            return why or "empty member"
-        if bad is not None:
-            rows.append(("gap", bad, len(data) - bad, None, None, why))
-        return end, rows
-    if head == b"WARC/":
-        got = _plain(src, at, most)
-        return got if isinstance(got, str) else (got[0], [("record", 0, got[0] - at, got[1], got[2], None)])
-    return "noise"
-
-
-def salvage(src: Source, start: int, end: int, most: int = MOST_BYTES) -> Iterator[tuple]:
-    """(kind, offset, length, inner offset, headers, body, reason) of the split [start, end): all from its first gzip member up to the first member at or after
+        begin, headers, size = at + got[0], got[1], got[2]
+        if begin + size > self.size:
+            return "truncated"
+        if size <= self.held:
+            whole = parse(self.get(at, got[0] + size + 4), 0)
+            return whole if isinstance(whole, str) else (at + whole[0], headers, whole[2])
+        h = hashlib.sha1()
+        for k in range(begin, begin + size, BLOCK):
+            h.update(self.get(k, min(BLOCK, begin + size - k)))
+        if not (skip := _tail(self.get(begin + size, 4))):
+            return "record end"
+        if _digested(headers) and _header(headers, "warc-block-digest").upper() != ("sha1:" + base64.b32encode(h.digest()).decode()).upper():
+            return "digest"
+        return begin + size + skip, headers, (self.get(k, min(self.held, begin + size - k)) for k in range(begin, begin + size, self.held))
+
+
+class Held:
+    """As `Flow`, of bytes that are held."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.size = data, len(data)
+
+    def search(self, at: int) -> int:
+        m = _VERSION.search(self.data, at)
+        return m.start() if m else self.size
+
+    def parse(self, at: int) -> tuple[int, dict[str, str], bytes] | str:
+        return parse(self.data, at)
+
+
+def _inside(view: Flow | Held, length: int, sound: bool) -> Iterator[tuple]:
+    """Rows (kind, inner offset, length, headers, block, reason) of the records in a member, and of the gaps between them.  Where the member isn't sound, only of records with a digest."""
+    p, bad, why = 0, None, ""
+    while p < view.size:
+        one = view.parse(p)
+        if isinstance(one, str) or not (sound or _digested(one[1])):
+            if bad is None:
+                bad, why = p, one if isinstance(one, str) else "no digest"
+            p = view.search(p + 1)
+            continue
+        if bad is not None and sound:
+            yield "gap", bad, p - bad, None, None, why
+        bad = None
+        yield "record", p, length, one[1], one[2], None
+        p = one[0]
+    if bad is not None and sound:
+        yield "gap", bad, view.size - bad, None, None, why
+
+
+def read_one(src: Source, at: int, held: int = HELD) -> tuple[int | None, Iterable[tuple], str]:
+    """What begins at a place: its end, and rows as those of `_inside`; or no end, the rows that can be trusted all the same, and what is wrong."""
+    first = src.at(at, 5)
+    if first[:3] == MAGIC:
+        end, total, data, why = src.member(at, held)
+        rows = _inside(Flow(src, at, total, held) if data is None else Held(data), end - at, not why)
+        if why:
+            return None, rows, why
+        seen: list[tuple] = []
+        for r in rows:
+            seen.append(r)
+            if r[0] == "record":
+                return end, chain(seen, rows), ""
+        return None, (), seen[0][5] if seen else "empty member"
+    if first == b"WARC/":
+        got = Flow(src, None, src.size, held).parse(at)
+        return (None, (), got) if isinstance(got, str) else (got[0], [("record", 0, got[0] - at, got[1], got[2], None)], "")
+    return None, (), "noise"
+
+
+def salvage(src: Source, start: int, end: int, held: int = HELD) -> Iterator[tuple]:
+    """(kind, offset, length, inner offset, headers, block, reason) of the split [start, end): all from its first gzip member up to the first member at or after
     `end`, gaps included.  The first split has all from the beginning.  Only members mark where a split begins, since a page may hold a version line."""
-    at, gap, why, synced = start, None, "", start == 0
+    at, gap, inner_end, why, synced = start, None, None, "", start == 0
     while at < src.size:
         if not synced and at >= end:
             return
         zipped = src.at(at, 3) == MAGIC
-        got = read_one(src, at, most) if synced or zipped else "not a member"
-        if isinstance(got, str):
-            if synced and gap is None:
-                gap = at
-            why = why or got
+        stop, rows, wrong = read_one(src, at, held) if synced or zipped else (None, (), "not a member")
+        if stop is None:
+            if synced:
+                if gap is None:
+                    gap = at
+                for kind, inner, length, headers, body, reason in rows:
+                    inner_end = inner
+                    yield kind, at, length, inner, headers, body, reason
+            why = why or wrong
             nxt = src.find(at + 1)
             at = src.size if nxt is None else nxt
             continue
         synced = True
         if gap is not None:
-            yield "gap", gap, at - gap, None, None, None, why
-        gap, why = None, ""
+            yield "gap", gap, at - gap, inner_end, None, None, why
+        gap, inner_end, why = None, None, ""
         if at >= end and zipped:
             return
-        for kind, inner, length, headers, body, reason in got[1]:
+        for kind, inner, length, headers, body, reason in rows:
             yield kind, at, length, inner, headers, body, reason
-        at = got[0]
+        at = stop
     if gap is not None:
-        yield "gap", gap, src.size - gap, None, None, None, why
+        yield "gap", gap, src.size - gap, inner_end, None, None, why
 
 
 def splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, start, stop) of the splits of a file or of all .warc and .warc.gz files below a folder."""
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = filesystem(path)
     info = fs.get_file_info(root)
     found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
     prefix = path[: len(path) - len(root)] if path.endswith(root) else ""
@@ -245,23 +359,25 @@ def splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Da
     return df.repartition(max(1, min(len(rows), 100_000)), "path", "start")
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, held_bytes: int = HELD) -> DataFrame:
     """Records and quarantined gaps of WARC files, in the columns of `SCHEMA`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fs, root = pafs.FileSystem.from_uri(name)
+                fs, root = filesystem(name)
                 with fs.open_input_file(root) as f:
                     held: list[tuple] = []
                     size = 0
-                    for kind, offset, length, inner, headers, body, reason in salvage(Source(f), start, stop, most_bytes):
-                        low = {k.lower(): v for k, v in (headers or {}).items()}
-                        held.append((name, kind, offset, length, inner, low.get("warc-type"), low.get("warc-target-uri"), list(headers.items()) if headers else None, body, reason))
-                        size += len(body or b"")
-                        if size > 4 * BLOCK or len(held) >= 2000:
-                            yield _rows(held)
-                            held, size = [], 0
+                    for kind, offset, length, inner, headers, body, reason in salvage(Source(f), start, stop, held_bytes):
+                        for part, piece in enumerate([body] if body is None or isinstance(body, bytes) else body):
+                            own = headers if part == 0 else None
+                            low = {k.lower(): v for k, v in (own or {}).items()}
+                            held.append((name, "continuation" if part else kind, offset, length, inner, part if kind == "record" else None, low.get("warc-type"), low.get("warc-target-uri"), list(own.items()) if own else None, piece, reason))
+                            size += len(piece or b"")
+                            if size > 4 * BLOCK or len(held) >= 2000:
+                                yield _rows(held)
+                                held, size = [], 0
                     if held:
                         yield _rows(held)
 
@@ -276,7 +392,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write pages as records, a gzip member each, one file a task.  `damage` says which bytes to slip in before a page, to rehearse salvage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = filesystem(path)
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
         temp = f"{root}/_{name}-{uuid.uuid4().hex}"
         out, n = None, 0
@@ -301,7 +417,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             fs.move(temp, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "records"])
 
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
     pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), F.col(body_col).alias("b")).mapInArrow(run, "file string, records long").write.parquet(f"{path}/_manifest")
 
