@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from . import config
 from .engine import Detector
+from .sources.files import read_files
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--input", default="telemetry.parquet")
         s.add_argument("--output")
         s.add_argument("--console", action="store_true")
+        s.add_argument("--raw", action="store_true", help="the input holds raw records, not telemetry")
+        s.add_argument("--files", help="a folder with the images that start, for hashes and content rules")
+        s.add_argument("--follow", metavar="STATE", help="read new files of the input folder as a stream, with its state in this folder")
     a = p.parse_args(argv)
     cfg = config.load(a.config, log_level=a.log_level)
     logging.basicConfig(level=cfg.logging.level.upper())
@@ -38,13 +42,20 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = Detector.load(cfg)
-    events = spark.read.parquet(a.input)
+    if a.follow:
+        stream = spark.readStream.schema(spark.read.parquet(a.input).schema).parquet(a.input)
+        found.follow(stream, a.output or cfg.alerts.directory, a.follow).awaitTermination()
+        return 0
+    events, stops = spark.read.parquet(a.input), None
+    if a.raw:
+        events, stops = found.prepare(events)
+    files = read_files(spark, a.files) if a.files else None
     if a.console:
         from .operators import ecs
 
-        ecs.ndjson(ecs.project(found.detect(events))).show(50, truncate=False)
+        ecs.ndjson(found.run(events, stops=stops, files=files).drop("response_decision")).show(50, truncate=False)
     else:
-        found.write(events, a.output or cfg.alerts.directory)
+        found.write(events, a.output or cfg.alerts.directory, stops=stops, files=files)
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import string
 
 import pandas as pd
@@ -94,19 +95,41 @@ def ipv4_number(c: Column) -> Column:
     return F.when(is_ipv4(c), n)
 
 
+def _six(v: str | None) -> ipaddress.IPv6Address | None:
+    try:
+        a = ipaddress.IPv6Address(v)
+    except (ValueError, TypeError):
+        return None
+    return None if a.scope_id else a
+
+
+def _six_text(a: ipaddress.IPv6Address) -> str:
+    m = a.ipv4_mapped
+    return f"::ffff:{m}" if m is not None else str(a)
+
+
 @F.pandas_udf(T.StringType())
 def _ipv6_text(s: pd.Series) -> pd.Series:
-    def one(v: str | None) -> str | None:
-        try:
-            a = ipaddress.IPv6Address(v)
-        except (ValueError, TypeError):
-            return None
-        if a.scope_id:
-            return None
-        m = a.ipv4_mapped
-        return f"::ffff:{m}" if m is not None else str(a)
+    return s.map(lambda v: None if (a := _six(v)) is None else _six_text(a))
+
+
+@F.pandas_udf(T.StringType())
+def _ipv6_bits(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if (a := _six(v)) is None else f"{int(a):0128b}")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _ipv6_runs(s: pd.Series) -> pd.Series:
+    def some(v: str | None) -> list[str]:
+        found = (_six(t) for t in re.findall(r"[0-9A-Fa-f.:]+", v or "") if t.count(":") > 1)
+        return [_six_text(a) for a in found if a is not None]
+
+    return s.map(some)
+
 
-    return s.map(one)
+def ipv6_bits(c: Column) -> Column:
+    """An IPv6 address as 128 binary digits; null for anything else.  Its network of n bits is the first n."""
+    return F.when(F.contains(c, F.lit(":")), _ipv6_bits(F.when(F.contains(c, F.lit(":")), c)))
 
 
 def ip_text(c: Column, v6: bool = True) -> Column:
@@ -143,8 +166,11 @@ def address_runs(c: Column) -> Column:
 
 
 def addresses(c: Column) -> Column:
-    """IPv4 addresses in a text, sorted, each once.  (IPv6 needs `ip_text` on exploded runs.)"""
-    return F.array_sort(F.array_distinct(F.filter(address_runs(c), lambda t: t.rlike(IPV4))))
+    """Addresses in a text in their canonical form, sorted, each once.  IPv6 is parsed outside the JVM, and only where there are two colons."""
+    four = F.filter(address_runs(c), lambda t: t.rlike(IPV4))
+    maybe = true(c.rlike(":[^:]*:"))
+    six = F.when(maybe, _ipv6_runs(F.when(maybe, c)))
+    return F.array_sort(F.array_distinct(F.concat(four, F.coalesce(six, F.array().cast("array<string>")))))
 
 
 def whole_number(c: Column, most: int) -> Column:

@@ -166,6 +166,8 @@ def project(alerts: DataFrame, v6: bool = True) -> DataFrame:
     }
     if "match" in have:
         cols["edr.match"] = F.col("match")
+    if "response_decision" in have:
+        cols["edr.response.decision"] = F.col("response_decision")
     return alerts.select(*(c for c in ("seq", "rule") if c in have), *(v.alias(k) for k, v in cols.items()))
 
 

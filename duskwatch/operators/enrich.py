@@ -57,7 +57,7 @@ def back_fill_image(events: DataFrame, starts: DataFrame, stops: DataFrame, pid:
 
 
 def answers(dns: DataFrame, name: str = "QueryName", results: str = "QueryResults", at: str = "seq", key: tuple[str, ...] = ()) -> DataFrame:
-    """(key..., ip, at, hostname): one row for each IPv4 address in an answer."""
+    """(key..., ip, at, hostname): one row for each address in an answer, of either family."""
     from ..functions.columns import addresses
 
     return dns.where(F.col(name).isNotNull()).select(*key, F.explode(addresses(F.col(results))).alias("ip"), F.col(at), F.col(name).alias("hostname"))

@@ -87,10 +87,14 @@ def match_ips(events: DataFrame, indicators: Indicators) -> DataFrame:
         keys = F.array(*(F.struct(F.lit(b).alias("bits"), F.shiftleft(F.shiftright(number, 32 - b), 32 - b).alias("key")) for b in lengths))
         spread = found.where(C.is_ipv4(F.col("ip"))).withColumn("net", F.explode(keys))
         out = out.unionByName(spread.join(side, (F.col("net.bits") == side["bits"]) & (F.col("net.key") == side["key"])).drop("net", "bits", "key", "ip"))
-    for n, i in nets:
-        if n.version == 6:
-            own = found.where(C.in_network(F.col("ip"), str(n.network))).drop("ip")
-            out = out.unionByName(own.withColumns({"kind": F.lit("ip"), "indicator": F.lit(i.value), "comment": F.lit(i.comment).cast("string"), "source": F.lit(i.source), "line": F.lit(i.line)}))
+    six = [(n.network.prefixlen, f"{int(n.network.network_address):0128b}"[: n.network.prefixlen], "ip", i.value, *_meta(i)) for n, i in nets if n.version == 6]
+    if six:
+        side = _side(spark, six, f"bits int, key string, kind string, indicator string, {_META}")
+        lengths = sorted({r[0] for r in six})
+        own = found.withColumn("digits", C.ipv6_bits(F.col("ip"))).where("digits IS NOT NULL")
+        keys = F.array(*(F.struct(F.lit(b).alias("bits"), F.substring("digits", 1, b).alias("key")) for b in lengths))
+        spread = own.withColumn("net", F.explode(keys))
+        out = out.unionByName(spread.join(side, (F.col("net.bits") == side["bits"]) & (F.col("net.key") == side["key"])).drop("net", "digits", "bits", "key", "ip"))
     return out
 
 
@@ -106,8 +110,8 @@ def match_paths(events: DataFrame, indicators: Indicators) -> DataFrame:
     return found.join(side, F.expr("observed RLIKE java")).drop("n", "java")
 
 
-def match_hashes(files: DataFrame, indicators: Indicators, content: str = "content", most_bytes: int = 50 << 20, allow: tuple[str, ...] = ()) -> DataFrame:
-    """Files (path, size, mtime, content) whose digest is listed.
+def match_hashes(files: DataFrame, indicators: Indicators | DataFrame, content: str = "content", most_bytes: int = 50 << 20, allow: tuple[str, ...] = ()) -> DataFrame:
+    """Files (path, size, mtime, content) whose digest is listed, in indicators or in a table (kind, indicator, comment, source, line) of any size.
 
     Each (path, size, mtime) is hashed once, only with the digests that have indicators; files beyond `most_bytes` (0: no limit) and below an allowed
     prefix are left out.  Prefixes are lower-cased and no more, so `C:\\Win` covers `C:\\Windows` too."""
@@ -119,9 +123,12 @@ def match_hashes(files: DataFrame, indicators: Indicators, content: str = "conte
         own = own.where(~C.true(F.startswith(low, F.lit(p.lower()))))
     own = own.dropDuplicates(["path", "size", "mtime"])
     digest = {"md5": F.md5(content), "sha1": F.sha1(content), "sha256": F.sha2(content, 256)}
-    kinds = [k for k in digest if indicators.of(k)]
+    if isinstance(indicators, DataFrame):
+        kinds, side = list(digest), indicators.withColumn("key", F.col("indicator"))
+    else:
+        kinds = [k for k in digest if indicators.of(k)]
+        side = _side(files.sparkSession, [(i.kind, i.value, i.value, *_meta(i)) for k in digest for i in indicators.of(k)], f"kind string, key string, indicator string, {_META}")
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), digest[k].alias("observed")) for k in kinds)) if kinds else F.array().cast("array<struct<kind:string,observed:string>>")
-    side = _side(files.sparkSession, [(i.kind, i.value, i.value, *_meta(i)) for k in digest for i in indicators.of(k)], f"kind string, key string, indicator string, {_META}")
     spread = own.drop(content) if not kinds else own.withColumn("h", F.explode(pairs)).drop(content).select("*", "h.*").drop("h")
     if not kinds:
         spread = spread.withColumns({"kind": F.lit("md5"), "observed": F.lit(None).cast("string")}).where("false")

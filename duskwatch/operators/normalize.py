@@ -154,8 +154,8 @@ def _field(cat: str, name: str) -> Column:
     return c
 
 
-def normalize(raw: DataFrame, drives: dict[str, str] | None = None, sids: dict[str, str] | None = None) -> DataFrame:
-    """Telemetry rows of the records that matter.  A process stop is kept out: `lifecycle` has it."""
+def normalize(raw: DataFrame, drives: dict[str, str] | None = None, sids: dict[str, str] | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Telemetry rows of the records that matter, and columns to keep of the raw ones.  A process stop is kept out: `lifecycle` has it."""
     routed = with_clean_props(route(wanted(raw)))
     out = {}
     for f in ALL_FIELDS:
@@ -169,7 +169,7 @@ def normalize(raw: DataFrame, drives: dict[str, str] | None = None, sids: dict[s
                 v = resolve_sid(v, sids)
             col = F.when(F.col("category") == c, v).otherwise(col)
         out[f] = col
-    rows = routed.select(F.col("seq"), C.filetime(F.col("filetime")).alias("timestamp"), "category", mapped_event_id().alias("event_id"), "opcode", "header_pid", *(v.alias(k) for k, v in out.items()))
+    rows = routed.select(F.col("seq"), C.filetime(F.col("filetime")).alias("timestamp"), "category", mapped_event_id().alias("event_id"), "opcode", "header_pid", *(v.alias(k) for k, v in out.items()), *(v.alias(k) for k, v in (keep or {}).items()))
     return rows.where(~((F.col("category") == "Process") & (F.col("opcode") == 2)))
 
 

@@ -459,8 +459,8 @@ def triggers(events: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
     return events.where((F.col("category") == "Process") & (F.col("opcode") == 1) & F.col("Image").isNotNull() & ~C.true(skip)).select(path.alias("path"), F.coalesce(F.col("ProcessId"), F.col("header_pid").cast("string")).alias("pid")).distinct()
 
 
-def alerts(found: DataFrame) -> DataFrame:
-    """Alerts for scanned files (path, pid, yara): a process event of now, critical whatever else."""
+def as_process_events(found: DataFrame, **more: Column) -> DataFrame:
+    """Files (path, pid) as process events of now, with the columns `more`."""
     from ..schema import ALL_FIELDS
 
     own = {"Image": F.col("path"), "ProcessId": F.col("pid").cast("string")}
@@ -471,9 +471,11 @@ def alerts(found: DataFrame) -> DataFrame:
         F.lit(1).alias("opcode"),
         F.lit(None).cast("long").alias("header_pid"),
         *(own.get(f, F.lit(None).cast("string")).alias(f) for f in ALL_FIELDS),
-        F.col("yara.rule").alias("rule_name"),
-        F.lit(None).cast("string").alias("rule_description"),
-        F.lit("Critical").alias("severity"),
-        F.lit("Yara").alias("engine"),
-        F.struct(F.concat(F.lit("rule matched: "), "yara.rule").alias("summary"), F.array("yara").alias("rules")).alias("match"),
+        *(c.alias(n) for n, c in more.items()),
     )
+
+
+def alerts(found: DataFrame) -> DataFrame:
+    """Alerts for scanned files (path, pid, yara): a process event of now, critical whatever else."""
+    told = F.struct(F.concat(F.lit("rule matched: "), "yara.rule").alias("summary"), F.array("yara").alias("rules"))
+    return as_process_events(found, rule_name=F.col("yara.rule"), rule_description=F.lit(None).cast("string"), severity=F.lit("Critical"), engine=F.lit("Yara"), match=told)

@@ -312,14 +312,20 @@ def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.concat(F.lit("C:\\docs\\"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.col("text").cast("binary").alias("content"), "doc_id")
 
 
+_DIGEST = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}
+
+
+def _listed(spark: SparkSession, sf_dir: str, kind: str, where: str) -> DataFrame:
+    """The digests of the labelled documents of which `where` holds.  The list is as long as the label table says: a table, so it is joined as one."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(where).select("doc_id").distinct()
+    own = documents(spark, sf_dir).join(labels, "doc_id", "left_semi").select(F.lit(kind).alias("kind"), _DIGEST[kind]("text").alias("indicator")).distinct()
+    return own.withColumns({"comment": F.lit(None).cast("string"), "source": F.lit("labels"), "line": F.lit(0)})
+
+
 def _hash_query(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = _doc_files(spark, sf_dir)
-        digest = {"md5": F.md5("text"), "sha1": F.sha1("text"), "sha256": F.sha2("text", 256)}[kind]
-        # the list is as long as the label table says: a table, so it is joined as one
-        listed = documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(digest.alias("key")).distinct()
-        own = {"md5": F.md5("content"), "sha1": F.sha1("content"), "sha256": F.sha2("content", 256)}[kind]
-        return files.select("doc_id", own.alias("observed")).join(listed, F.col("observed") == F.col("key"), "left_semi").select("doc_id", F.concat(F.lit(f"ioc:{kind}:"), "observed").alias("rule_name"))
+        got = indicators.match_hashes(_doc_files(spark, sf_dir), _listed(spark, sf_dir, kind, "toxic = 1"))
+        return indicators.alert_columns(got).select("doc_id", "rule_name")
 
     return run
 
@@ -328,14 +334,12 @@ for _k, _f in (("md5", "md5(text)"), ("sha1", "sha1(text)"), ("sha256", "sha256(
     QUERIES[f"ioc_hash_{_k}"] = _hash_query(_k)
     SQL[f"ioc_hash_{_k}"] = f"SELECT doc_id, 'ioc:{_k}:' || {_f} AS rule_name FROM documents WHERE {_f} IN (SELECT {_f} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
-_KNOWN = ind.Indicators(ind.hashes("8f14e45fceea167a5a36dedd4bea2543;seven\n7b52009b64fd0a2a49e6d8a939753077792b0554\n", "hashes.txt"))
 
-
-@query("ioc_hash_files", "SELECT DISTINCT doc_id % 100 AS n, CASE WHEN doc_id % 50 = 7 THEN 'ioc:md5:8f14e45fceea167a5a36dedd4bea2543' ELSE 'ioc:sha1:7b52009b64fd0a2a49e6d8a939753077792b0554' END AS rule_name FROM documents WHERE doc_id % 50 IN (7, 12) AND doc_id % 100 <> 57")
+@query("ioc_hash_files", " UNION ALL ".join(f"SELECT doc_id, 'ioc:{k}:' || {f} AS rule_name FROM documents WHERE NOT starts_with(CAST(doc_id AS VARCHAR), '1') AND {f} IN (SELECT {f} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE {w}))" for k, f, w in (("md5", "md5(text)", "toxic = 1"), ("sha256", "sha256(text)", "quality = 0"))))
 def _(spark, sf_dir):
-    n = F.col("doc_id") % 100
-    files = documents(spark, sf_dir).select(n.alias("n"), F.concat(F.when(n == 57, "C:\\Windows\\").otherwise("D:\\"), n.cast("string")).alias("path"), F.lit(2).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), (F.col("doc_id") % 50).cast("string").cast("binary").alias("content"))
-    return indicators.alert_columns(indicators.match_hashes(files, _KNOWN, allow=("C:\\Win",))).select("n", "rule_name")
+    """Digests of two kinds in one list over every document, but for those below an allowed prefix."""
+    listed = _listed(spark, sf_dir, "md5", "toxic = 1").unionByName(_listed(spark, sf_dir, "sha256", "quality = 0"))
+    return indicators.alert_columns(indicators.match_hashes(_doc_files(spark, sf_dir), listed, allow=("C:\\docs\\1",))).select("doc_id", "rule_name")
 
 
 _LIST = ind.Indicators(
@@ -656,4 +660,75 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("response_decision", *(F.col(f"`{c}`").alias(c.replace(".", "_").replace("@", "")) for c in keep))
 
 
-QUERIES["e2e_alerts"] = lambda spark, sf_dir: flagship(spark, sf_dir).groupBy("edr_rule_engine", "response_decision").agg(F.count("*").alias("alerts"))
+# the whole path
+
+_E2E = f"""SELECT seq, u, k, et, (u % 40) * 4 + 8 AS header_pid,
+  CASE et WHEN 'view' THEN 'kernel-process' WHEN 'click' THEN 'kernel-network' WHEN 'signup' THEN 'dns-client' WHEN 'purchase' THEN 'kernel-file' ELSE 'kernel-registry' END AS provider,
+  CASE WHEN et <> 'click' THEN 1 WHEN k % 2 = 0 THEN 12 ELSE 14 END AS event_id,
+  CASE et WHEN 'view' THEN CASE WHEN k % 4 = 3 THEN 2 ELSE 1 END WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 12 ELSE 15 END WHEN 'signup' THEN 0 WHEN 'purchase' THEN 64 ELSE 39 END AS opcode,
+  'C:' || {V.BS} || 'Tools' || {V.BS} || 'p' || CAST(k % 8 AS STRING) || '.exe' AS img, ((u + 1) % 40) * 4 + 8 AS ppid,
+  '10.0.' || CAST(k % 5 AS STRING) || '.' || CAST(u % 10 AS STRING) AS four, '2001:db8::' || CAST(k % 9 + 1 AS STRING) AS six,
+  'host' || CAST(k % 7 AS STRING) || '.example.net' AS host, 'C:' || {V.BS} || 'r' || CAST(k AS STRING) || '.ps1' AS dropped
+FROM ({V.BASE}) b"""
+_E2E_IOC = ind.Indicators(ind.ips("10.0.3.7\n2001:db8::4/127\n", "ips.txt") + ind.domains("host4.example.net\n", "domains.txt") + ind.paths(r"\\r1[0-9]\.ps1$" + "\n", "paths.txt") + ind.hashes("ed92eff813a02a31a2677be0563a0739\n", "hashes.txt"))
+_E2E_RULES = [
+    ("odd parent", "high", "process_creation", {"s": {"ParentImage|endswith": "\\p4.exe"}, "condition": "s"}),
+    ("script dropped", "medium", "file_event", {"s": {"TargetFilename|endswith": "1.ps1"}, "condition": "s"}),
+    ("known host", "low", "network_connection", {"s": {"DestinationHostname|startswith": "host3."}, "condition": "s"}),
+]
+
+
+def _live(s: str, e: str, at: str) -> str:
+    return f"{s}.seq IS NOT NULL AND ({e}.seq IS NULL OR {e}.seq < {s}.seq OR {at} - {e}.seq <= 60)"
+
+
+_E2E_SQL = f"""WITH r AS ({V.duck(_E2E)}),
+s AS (SELECT seq, header_pid AS pid, ppid, img FROM r WHERE et = 'view' AND opcode = 1), e AS (SELECT seq, header_pid AS pid FROM r WHERE et = 'view' AND opcode = 2),
+d AS (SELECT seq, unnest([four, six]) AS ip, host FROM r WHERE et = 'signup'),
+o AS (SELECT r.*, CASE WHEN {_live('s', 'e', 'r.seq')} THEN s.img END AS live FROM r ASOF LEFT JOIN s ON r.header_pid = s.pid AND r.seq >= s.seq ASOF LEFT JOIN e ON r.header_pid = e.pid AND r.seq > e.seq WHERE et <> 'view'),
+p AS (SELECT a.seq, a.pid, a.img, CASE WHEN {_live('b', 'e', 'a.seq')} THEN b.img END AS parent FROM s a ASOF LEFT JOIN s b ON a.ppid = b.pid AND a.seq >= b.seq ASOF LEFT JOIN e ON a.ppid = e.pid AND a.seq > e.seq),
+c AS (SELECT seq, header_pid, live, k, opcode, CASE WHEN seq % 6 = 0 THEN six ELSE four END AS ip FROM o WHERE et = 'click'),
+h AS (SELECT c.*, CASE WHEN c.seq - d.seq < 900 THEN d.host END AS host FROM c ASOF LEFT JOIN d ON c.ip = d.ip AND c.seq >= d.seq),
+n AS (SELECT * FROM h QUALIFY live IS NULL OR row_number() OVER (PARTITION BY live, ip, k % 3, opcode ORDER BY seq) = 1),
+x AS (
+  SELECT seq, 'Sigma' AS engine, 'odd parent' AS rule_name, pid, img AS image FROM p WHERE parent LIKE '%p4.exe'
+  UNION ALL SELECT seq, 'Sigma', 'script dropped', CASE WHEN live IS NOT NULL THEN header_pid END, live FROM o WHERE et = 'purchase' AND dropped LIKE '%1.ps1'
+  UNION ALL SELECT seq, 'Sigma', 'known host', header_pid, live FROM n WHERE starts_with(host, 'host3.')
+  UNION ALL SELECT seq, 'Ioc', 'ioc:domain:host4.example.net', header_pid, live FROM n WHERE host = 'host4.example.net'
+  UNION ALL SELECT seq, 'Ioc', 'ioc:domain:host4.example.net', CASE WHEN live IS NOT NULL THEN header_pid END, live FROM o WHERE et = 'signup' AND host = 'host4.example.net'
+  UNION ALL SELECT seq, 'Ioc', 'ioc:ip:10.0.3.7', header_pid, live FROM n WHERE ip = '10.0.3.7'
+  UNION ALL SELECT seq, 'Ioc', 'ioc:ip:2001:db8::4/127', header_pid, live FROM n WHERE ip IN ('2001:db8::4', '2001:db8::5')
+  UNION ALL SELECT seq, 'Ioc', 'ioc:ip:10.0.3.7', CASE WHEN live IS NOT NULL THEN header_pid END, live FROM o WHERE et = 'signup' AND four = '10.0.3.7'
+  UNION ALL SELECT seq, 'Ioc', 'ioc:ip:2001:db8::4/127', CASE WHEN live IS NOT NULL THEN header_pid END, live FROM o WHERE et = 'signup' AND six IN ('2001:db8::4', '2001:db8::5')
+  UNION ALL SELECT seq, 'Ioc', 'ioc:path_regex:\\\\r1[0-9]\\.ps1$', CASE WHEN live IS NOT NULL THEN header_pid END, live FROM o WHERE et = 'purchase' AND k BETWEEN 10 AND 19
+  UNION ALL SELECT DISTINCT NULL, 'Ioc', 'ioc:md5:' || md5('p5'), pid, img FROM s WHERE img LIKE '%p5.exe'
+  UNION ALL SELECT DISTINCT NULL, 'Yara', 'six', pid, img FROM s WHERE img LIKE '%p6.exe'
+)
+SELECT CAST(seq AS BIGINT) AS seq, engine, rule_name, image, CASE WHEN pid IS NULL THEN 'skip-no-pid' WHEN image IS NULL THEN 'skip-no-image' WHEN image LIKE '%p2.exe' THEN 'skip-allowlisted' ELSE 'terminate' END AS response_decision FROM x"""
+
+
+@query("e2e_alerts", _E2E_SQL)
+def _(spark, sf_dir):
+    """Raw records to decided alerts: routing, normalization, parents, images, host names, first connections, then rules, indicators, hashes and content rules, context and decision."""
+    from ..engine import Detector
+
+    e = V.events_view(spark, sf_dir, _E2E)
+    name, answer = F.col("provider"), F.concat_ws(";", "four", "six")
+    net, dest = name == "kernel-network", F.when(F.col("seq") % 6 == 0, F.col("six")).otherwise(F.col("four"))
+    props = {
+        "ImageName": F.when(name == "kernel-process", F.col("img")),
+        "ParentProcessID": F.when(name == "kernel-process", F.col("ppid").cast("string")),
+        "daddr": F.when(net, dest),
+        "dport": F.when(net, ((F.col("k") % 3) * 256).cast("string")),
+        "QueryName": F.when(name == "dns-client", F.col("host")),
+        "QueryResults": F.when(name == "dns-client", answer),
+        "FileName": F.when(name == "kernel-file", F.col("dropped")),
+        "KeyName": F.when(name == "kernel-registry", F.lit("HKLM")),
+    }
+    records = e.select("seq", "provider", F.col("event_id").cast("int").alias("event_id"), F.col("opcode").cast("int").alias("opcode"), F.lit(4).alias("level"), F.lit(0xFFFF).cast("long").alias("keywords"), "header_pid", F.lit(116444736000000000).alias("filetime"), F.create_map(*(x for k, v in props.items() for x in (F.lit(k), v))).alias("props"))
+    files = spark.createDataFrame([(f"c:\\tools\\P{n}.exe", 2, 0, f"p{n}".encode()) for n in range(8)], "path string, size long, mtime long, content binary")
+    rules = RuleSet([compiled(category, detection, title=title, level=level) for title, level, category, detection in _E2E_RULES])
+    d = Detector(rules, _E2E_IOC, yara.parse('rule six { strings: $a = "p6" condition: $a }'), policy=response.Policy("low", dry_run=False, allow_images=("P2.exe",)))
+    telemetry, stops = d.prepare(records)
+    got = d.run(telemetry, stops=stops, files=files)
+    return got.select("seq", F.col("`edr.rule.engine`").alias("engine"), F.col("`rule.name`").alias("rule_name"), F.col("`process.executable`").alias("image"), "response_decision")

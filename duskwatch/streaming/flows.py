@@ -5,8 +5,6 @@ State is kept by key and bounded by time: what the batch operators look back for
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.enrich import CONNECTION, GRAVE_SECONDS
+from ..sources.shared import shared_path
 
 
 def with_snapshot(starts: DataFrame, snapshot: DataFrame, at: int) -> DataFrame:
@@ -57,12 +56,7 @@ def process_state(stream: DataFrame, grave: int = GRAVE_SECONDS) -> DataFrame:
 
 def replay(spark: SparkSession, table: DataFrame, flow: Callable[[DataFrame], DataFrame], order: str = "seq") -> DataFrame:
     """What a stream over `table` gives, all of it read as it is: the table is written once, streamed with `availableNow`, and the result read back."""
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="duskwatch-")
-    at = f"{base}/replay-{uuid.uuid4().hex}"
+    at = shared_path(spark, "replay")
     table.repartitionByRange(1, order).sortWithinPartitions(order).write.parquet(f"{at}/in") if order in table.columns else table.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(table.schema).parquet(f"{at}/in")
     q = flow(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()

@@ -1,3 +1,6 @@
+import hashlib
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +297,55 @@ def test_detector_and_command_line(spark, tmp_path, capsys):
     assert main(["rules", "--config", str(tmp_path / "c.toml")]) == 0
     assert "total\t1" in capsys.readouterr().out
     assert TELEMETRY.names[0] == "seq"
+
+
+def test_addresses_of_both_families(spark):
+    rows = [("10.0.0.1;2001:DB8::1", ["10.0.0.1", "2001:db8::1"]), ("type: 5 a::b c", ["a::b"]), ("::ffff:10.0.0.1 1.2.3.4.5 :: x", ["::", "::ffff:10.0.0.1"]), ("no", []), (None, None)]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [r[0] for r in df.select(C.addresses(F.col("t"))).collect()] == [w for _, w in rows]
+
+
+def test_networks_of_both_families_are_joined_by_equality(spark):
+    nets = ["10.0.0.0/9", "0.0.0.0/0", "2001:db8::/33", "2001:db8:8000::/127", "::/0", "2001:db8::5/128"]
+    ips = ["10.1.2.3", "192.168.0.1", "2001:DB8::5", "2001:db8:8000::1", "2001:db8:8000::2", "fe80::1", "x"]
+    df = events(spark, [{"category": "Network", "DestinationIp": i, "seq": n} for n, i in enumerate(ips)])
+    got = {(r.DestinationIp, r.indicator) for r in indicators.match_ips(df, ind.Indicators(ind.ips("\n".join(nets) + "\n", "f"))).collect()}
+    inside = lambda i, n: ipaddress.ip_address(i) in ipaddress.ip_network(n)
+    plain = {n: next(i.value for i in ind.ips(n + "\n", "f")) for n in nets}
+    assert got == {(i, plain[n]) for i in ips if i != "x" for n in nets if ":" in i and ":" in n or ":" not in i + n if inside(i, n)}
+
+
+def test_stop_of_an_earlier_process_does_not_end_the_later_one(spark):
+    starts = spark.createDataFrame([(1, 10, "a"), (1, 30, "b")], "pid long, seq long, Image string")
+    stops = spark.createDataFrame([(1, 20)], "pid long, seq long")
+    probes = spark.createDataFrame([(1, t) for t in (5, 15, 25, 85, 200)], "pid long, seq long")
+    got = {r.seq: r.proc_Image for r in enrich.asof_process(probes, starts, stops).collect()}
+    assert got == {5: None, 15: "a", 25: "a", 85: "b", 200: "b"}
+
+
+def test_files_decisions_and_streams(spark, tmp_path):
+    import json
+
+    from duskwatch.engine import Detector
+    from duskwatch.operators import yara
+    from duskwatch.operators.sigma import RuleSet
+    from duskwatch.plans.catalog import compiled
+    from duskwatch.sources.files import read_files
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "evil.exe").write_bytes(b"MZ evil")
+    (tmp_path / "f" / "fine.exe").write_bytes(b"MZ fine")
+    files = read_files(spark, f"file://{tmp_path}/f", strip=f"file:{tmp_path}/f/")
+    assert sorted((r.path, r.size) for r in files.collect()) == [("evil.exe", 7), ("fine.exe", 7)]
+    rules = RuleSet([compiled("process_creation", {"s": {"CommandLine|contains": "go"}, "condition": "s"}, title="goes", level="high")])
+    listed = ind.Indicators(ind.hashes(hashlib.sha256(b"MZ evil").hexdigest() + ";bad\n", "h"))
+    d = Detector(rules, listed, yara.parse('rule e { strings: $a = "evil" condition: $a }'), policy=response.Policy("high"))
+    ev = events(spark, [{"seq": 1, "category": "Process", "opcode": 1, "Image": "EVIL.exe", "ProcessId": "50", "CommandLine": "go"}, {"seq": 2, "category": "Process", "opcode": 1, "Image": "fine.exe", "ProcessId": "51"}])
+    d.write(ev, f"{tmp_path}/out", files=files)
+    got = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert sorted((g["edr.rule.engine"], g["process.executable"], g["edr.response.decision"]) for g in got) == [("Ioc", "EVIL.exe", "dry-run"), ("Sigma", "EVIL.exe", "dry-run"), ("Yara", "EVIL.exe", "dry-run")]
+    ev.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
+    d.follow(stream, f"{tmp_path}/live", f"{tmp_path}/state").awaitTermination()
+    live = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/live").collect()]
+    assert [(g["rule.name"], g["edr.response.decision"]) for g in live] == [("goes", "dry-run")]
