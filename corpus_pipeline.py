@@ -5,7 +5,7 @@ is written as Parquet in the shared folder and read again, so that a lost execut
 the last returns the packing manifest.
 
 Defined results: a null, empty or blank text is rejected by the quality rules; a document that line dedup leaves without text is dropped there;
-of each group of similar documents the lowest id stays, and of rows that share an id one; a document that holds a benchmark item is dropped whole; empty tables give
+of each group of similar documents the row with the lowest id stays, once (null ids last); rows that share an id are documents of their own; a document that holds a benchmark item is dropped whole; empty tables give
 empty results.  Toxic texts are rejected with those of low quality.  With too few labels the quality rules keep all that has text.
 """
 

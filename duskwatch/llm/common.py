@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -89,3 +89,13 @@ def arrow_uri(uri: str) -> str:
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of an address in the shared folder, and the path in it."""
     return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def training_texts(rows: DataFrame, picked: DataFrame, max_bytes: int) -> pa.Table:
+    """Of `rows` (id, t, ...) those of the ids in `picked` (id, k, ...), in order of k: of each id the text with the lowest hash, and no more of them than `max_bytes` of text.
+
+    Texts of one id meet by partial aggregates, so an id that many rows share costs one text a task."""
+    names = [c for c in {*rows.columns, *picked.columns} if c not in ("id", "k")]
+    one = rows.join(F.broadcast(picked), "id").groupBy("k", "id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64(*names), F.octet_length("t"))).alias("r")).select("k", "id", "r.*")
+    upto = F.sum(F.octet_length("t")).over(Window.orderBy("k", "id"))  # of the picked ids only
+    return one.withColumn("__upto__", upto).where(F.col("__upto__") <= max_bytes).drop("__upto__").orderBy("k", "id").toArrow()

@@ -6,7 +6,7 @@ FTRL-proximal under an elastic-net penalty, which leaves most weights exactly ze
 (`lang`), and a temperature is then fitted on held-out rows so that the probabilities mean what they say.
 
 Plan: one pass counts document frequencies, each task handing on one fixed-size table that combines on
-the map side; a bounded sample (`max_rows` lowest id hashes) trains on the driver; one pass scores in Arrow batches.
+the map side; a bounded sample (`max_rows` lowest id hashes, one text of each, `max_bytes` together) trains on the driver; one pass scores in Arrow batches.
 No text is shuffled.
 
 Defined results
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, training_texts
 
 MAX_ROWS = 4000
+MAX_BYTES = 256 << 20
 BITS = 15
 BUCKETS = 1 << BITS
 SCHEMA = "doc_id long, declared string, predicted string, probability double"
@@ -177,15 +178,15 @@ def temperature(logit: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
+    """A model fitted on at most `max_rows` ids of `docs`, one text of each, and `max_bytes` of text; document frequencies are of all."""
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y <> '' AND t <> ''")
     few = own.select("id").distinct().withColumn("k", F.xxhash64("id")).orderBy("k", "id").limit(max_rows)
-    got = own.join(F.broadcast(few), "id").toArrow()  # no more ids than max_rows
+    got = training_texts(own, few, max_bytes)
     if not got.num_rows:
         return None
-    got = got.sort_by([("k", "ascending"), ("id", "ascending"), ("t", "ascending"), ("y", "ascending")])
     return fit(got["t"].to_pylist(), got["y"].to_pylist(), idf)
 
 

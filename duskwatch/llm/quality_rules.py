@@ -22,6 +22,8 @@ Defined results
 * With fewer than `MIN_CLASS` labelled documents of either kind there is nothing to learn: every
   document that has text gets a null probability and decision ``keep``.
 * The same holds for the labels of the toxic model; without one ``p_toxic`` is null and rejects nothing.  A text without words to weigh has the share of toxic rows among the labelled ones.
+* A probability that equals a threshold has reached it: kept at `keep_at`, high at `high_at`, toxic at `toxic_at`.
+* Of an id that several rows share, the text with the lowest hash is fitted on; the texts together have `max_bytes` at most, in order of id hash.
 * Repeated rows are scored alike; a null id is carried along.  Only ids and texts are read, so other columns cannot clash.
 """
 
@@ -36,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import slices
+from .common import slices, training_texts
 
 MAX_ROWS = 6000
+MAX_BYTES = 256 << 20
 KEEP_AT = 0.5
 HIGH_AT = 0.9
 TOXIC_AT = 0.5
@@ -205,16 +208,15 @@ def fit_toxic(texts: list[str], y: np.ndarray) -> Toxic | None:
     return Toxic(w.astype(np.float32), bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, how: Callable = fit) -> Model | Toxic | None:
-    """A model fitted on at most `max_rows` labelled rows of `docs`."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, how: Callable = fit) -> Model | Toxic | None:
+    """A model fitted on at most `max_rows` labelled ids of `docs`, one text of each, and `max_bytes` of text."""
     one = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y_max")).where("y = y_max").select("id", "y")
     few = one.withColumn("k", F.xxhash64("id")).orderBy("k", "id").limit(max_rows)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    got = own.join(F.broadcast(few), "id").toArrow()  # no more ids than max_rows
+    got = training_texts(own, few, max_bytes)
     if not got.num_rows:
         return None
-    got = got.sort_by([("k", "ascending"), ("id", "ascending"), ("t", "ascending")])
     return how(got["t"].to_pylist(), got["y"].to_numpy().astype(float))
 
 

@@ -114,3 +114,149 @@ def test_quality_edge_cases(spark):
     assert told[1] == (None, "keep") and told[900] == (0.0, "reject")
     none, nolabels = split(spark, [])
     assert Q.train(none, nolabels) is None and Q.score(none, m).count() == 0 and Q.keep(none, m).count() == 0
+
+
+def test_ftrl_against_plain_python(spark):
+    """Features by strings, frequencies by a dictionary, FTRL coordinate by coordinate, temperature by a grid: the same probabilities."""
+    import math
+
+    rng = random.Random(21)
+    words = {"x": ["ab", "ba", "aab"], "y": ["cb", "bc", "ccb"], "z": ["ac", "ca", "abc"]}
+    data = [(i, " ".join(rng.choice(words[y]) for _ in range(rng.randrange(2, 9))) + rng.choice(["", " 12", "!"]), y) for i in range(60) for y in [rng.choice("xyz")]]
+
+    def counted(t):
+        s = "".join(c if "a" <= c <= "z" else " " for c in " " + t.lower() + " ")
+        while "  " in s:
+            s = s.replace("  ", " ")
+        out = {}
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                if s[i : i + k] != " ":
+                    out[s[i : i + k]] = out.get(s[i : i + k], 0) + 1
+        return out
+
+    own = [counted(t) for _, t, _ in data]
+    df = {}
+    for c in own:
+        for g in c:
+            df[g] = df.get(g, 0) + 1
+    got_df, n = L.document_frequencies(frame(spark, data).repartition(3))
+    assert n == 60 and sorted(got_df[got_df > 0].tolist()) == sorted(df.values())  # no two of these n-grams share a bucket
+    idf = {g: math.log((1 + n) / (1 + d)) + 1 for g, d in df.items()}
+
+    def vec(c):
+        v = {g: (1 + math.log(k)) * idf[g] for g, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {**{g: x / norm for g, x in v.items()}, None: 1.0}
+
+    labels, alpha, beta, l1, l2 = ["x", "y", "z"], 1.0, 1.0, 0.02, 0.02
+    z, q = {}, {}
+
+    def weight(g, k):
+        zi = z.get((g, k), 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(q.get((g, k), 0.0))) / alpha + l2)
+
+    def logits(v):
+        return [sum(x * weight(g, k) for g, x in v.items()) for k in labels]
+
+    def soft(s):
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    vs = [vec(c) for c in own]
+    fitted, out = [i for i in range(60) if i % 5 != 4], [i for i in range(60) if i % 5 == 4]
+    order = np.random.default_rng(11)
+    for _ in range(3):
+        for i in order.permutation(fitted).tolist():
+            p = soft(logits(vs[i]))
+            for g, x in vs[i].items():
+                for k, pk in zip(labels, p, strict=True):
+                    grad = x * (pk - (data[i][2] == k))
+                    before = q.get((g, k), 0.0)
+                    sigma = (math.sqrt(before + grad * grad) - math.sqrt(before)) / alpha
+                    w = weight(g, k)
+                    z[g, k] = z.get((g, k), 0.0) + grad - sigma * w
+                    q[g, k] = before + grad * grad
+    scores = [logits(vs[i]) for i in out]
+    loss = lambda t: -sum(math.log(soft([x / t for x in s])[labels.index(data[i][2])]) for s, i in zip(scores, out, strict=True))
+    best = min((0.05 * 400 ** (k / 3000) for k in range(3001)), key=loss)
+    m = L.fit([t for _, t, _ in data], [y for *_, y in data], np.log((1 + n) / (1 + got_df)) + 1)
+    for (label, p), v in zip(L.predict(m, [t for _, t, _ in data]), vs, strict=True):
+        want = soft([x / best for x in logits(v)])
+        assert label == labels[want.index(max(want))] and abs(p - max(want)) < 5e-3
+
+
+def test_ada_grad_and_platt_against_plain_python():
+    """Features by strings and shares of each group, AdaGrad weight by weight, Platt scaling by plain descent: the same probabilities."""
+    import math
+
+    rng = random.Random(22)
+    good, bad = ["ab", "ba", "cab"], ["dd", "ed", "dead"]
+
+    def text(y):
+        out = []
+        while len(out) < 8:
+            w = rng.choice(good + good + bad if y else bad + bad + good)
+            if not out or out[-1] != w:
+                out.append(w)
+        return " ".join(out)
+
+    ys = [rng.randrange(2) for _ in range(80)]
+    texts = [text(y) for y in ys]
+
+    def features(t):
+        out, w = {}, t.split()
+        for name, own in (("2", [t[i : i + 2] for i in range(len(t) - 1)]), ("3", [t[i : i + 3] for i in range(len(t) - 2)]), ("w", w), ("p", list(zip(w, w[1:], strict=False)))):
+            for g in own:
+                out[name, g] = out.get((name, g), 0) + 1 / len(own)
+        return out
+
+    xs = [features(t) for t in texts]
+    w, g2, bias, b2 = {}, {}, 0.0, 1e-8
+    order = np.random.default_rng(7)
+    fitted = np.array([i for i in range(80) if i % 5 != 4])
+    for epoch in range(8):
+        rate = 0.5 / (1 + epoch)
+        for i in order.permutation(fitted).tolist():
+            e = 1 / (1 + math.exp(-(sum(w.get(f, 0.0) * v for f, v in xs[i].items()) + bias))) - ys[i]
+            for f, v in xs[i].items():
+                g = e * v + 1e-6 * w.get(f, 0.0)
+                g2[f] = g2.get(f, 1e-8) + g * g
+                w[f] = w.get(f, 0.0) - rate * g / math.sqrt(g2[f])
+            b2 += e * e
+            bias -= rate * e / math.sqrt(b2)
+    raw = [sum(w.get(f, 0.0) * v for f, v in x.items()) + bias for x in xs]
+    held = [i for i in range(80) if i % 5 == 4]
+    n1 = sum(ys[i] for i in held)
+    goal = [(n1 + 1) / (n1 + 2) if ys[i] else 1 / (len(held) - n1 + 2) for i in held]
+    a, b = 1.0, 0.0
+    for _ in range(200_000):
+        p = [1 / (1 + math.exp(-(a * raw[i] + b))) for i in held]
+        da, db = sum((x - t) * raw[i] for x, t, i in zip(p, goal, held, strict=True)), sum(x - t for x, t in zip(p, goal, strict=True))
+        a, b = a - 0.05 * da, b - 0.05 * db
+        if abs(da) + abs(db) < 1e-7:
+            break
+    m = Q.fit(texts, np.array(ys, dtype=float))
+    got = m.probability(texts)
+    want = [1 / (1 + math.exp(-(a * s + b))) for s in raw]
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 2e-3
+    assert 0.1 < float(np.std(got))
+
+
+def test_ties(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    m = Q.Model(np.zeros(Q.GROUPS << Q.BITS, dtype=np.float32), 0.0)  # the probability of every text is 0.5
+    assert [(r.grade, r.decision) for r in Q.score(docs, m, keep_at=0.5, high_at=0.5).collect()] == [("high", "keep")] * 2
+    assert Q.keep(docs, m, keep_at=0.5).count() == 2 and Q.keep(docs, m, keep_at=0.500001).count() == 0
+    even = L.Model(["aa", "bb"], np.ones(L.BUCKETS), np.zeros((L.BUCKETS, 2)), np.zeros(2))
+    assert L.predict(even, ["abc"]) == [("aa", 0.5)]  # the first in order of the alphabet
+
+
+def test_an_id_of_many_rows_gives_one_text_and_bytes_are_bounded(spark):
+    from duskwatch.llm.common import training_texts
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "x" * 50), (3, "y" * 500), (4, "z")], "id long, t string")
+    picked = spark.createDataFrame([(1, 10, 1), (2, 20, 0), (3, 30, 1), (4, 40, 0)], "id long, k long, y int")
+    got = training_texts(docs, picked, 10**6).to_pylist()
+    assert [r["id"] for r in got] == [1, 2, 3, 4] and got[0]["t"].startswith("text ") and [r["y"] for r in got] == [1, 0, 1, 0]
+    assert [r["id"] for r in training_texts(docs, picked, 100).to_pylist()] == [1, 2]
