@@ -4,6 +4,7 @@ import corpus_pipeline as P
 import pytest
 
 from duskwatch.llm import decontaminate, quality_rules
+from duskwatch.llm.common import written
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_ngram_join import brute as brute_pairs
 
@@ -75,3 +76,33 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_long_texts_and_clashing_columns(spark, tables, tmp_path):
+    """Without labels nothing is rejected for its quality, so every other stage meets the odd rows."""
+    sf, docs, _ = tables
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, docs[1]), (None, docs[1]), (None, docs[2]), (5, docs[3]), (5, docs[4]), (5, docs[4]), (6, docs[3]), (7, long), (2**63 - 1, long + " end"), (8, None), (None, ""), (9, ITEM), (None, "x " + ITEM)]
+    extra = "id long, h long, k long, n long, shard long, key long"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, 1, 2, 3, 4, 5, 6) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        nxt = stage(spark, out, str(tmp_path))
+        assert nxt.columns == df.columns
+        out = written(nxt, "stage")
+    got = sorted(((r.doc_id, len(r.text)) for r in out.collect()), key=str)
+    kept = {(i, t) for i, t in rows if t}
+    assert all(any(i == j and n <= len(t) for j, t in kept) for i, n in got)
+    assert (7, len(long)) in got and not any(i == 2**63 - 1 for i, _ in got)  # a near copy of a lower id
+    assert sum(i == 6 for i, _ in got) == 0 and sum(i == 5 for i, _ in got) == 2  # two texts of one id, each once
+    assert sum(i is None for i, _ in got) == 2 and not any(i == 9 for i, _ in got)
+    total = {}
+    for r in P.run(spark, str(tmp_path)).collect():
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.piece_len
+    want = {}
+    for r in out.collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(r.text.encode()) + 1
+    assert total == want
