@@ -10,6 +10,7 @@ from ..schema import SEVERITY_NUMBER
 
 VERSION, MODULE, PROVIDER = "9.3.0", "edr", "edr-rust"
 CREATE, DELETE = (64, 65), (70, 72)
+PORT = (1 << 16) - 1
 _CATEGORY = {"Process": "process", "Network": "network", "File": "file", "Registry": "registry", "Dns": "network", "ImageLoad": "library", "Scripting": "process", "Wmi": "api", "Service": "configuration", "Task": "configuration"}
 _DATASET = {c: c.lower() for c in _CATEGORY} | {"ImageLoad": "library"}
 
@@ -50,13 +51,14 @@ def kind_and_action() -> tuple[Column, Column]:
     return kind, action
 
 
-def project(alerts: DataFrame, v6: bool = True) -> DataFrame:
+def project(alerts: DataFrame, v6: bool = True, most_source_port: int = PORT) -> DataFrame:
     """One column for each ECS key (dots and all); what an alert lacks is null.
 
-    `alerts` are telemetry rows with rule_name, rule_description, severity and engine, and may have context columns `ctx_<field>` and a struct `match`."""
+    `alerts` are telemetry rows with rule_name, rule_description, severity and engine, and may have context columns `ctx_<field>` and a struct `match`.
+    A source port beyond `most_source_port` is null, and a destination port beyond 65,535."""
     have = set(alerts.columns)
     cat = F.col("category")
-    pid64, port = (1 << 64) - 1, (1 << 16) - 1
+    pid64 = (1 << 64) - 1
 
     def on(names: str, c: Column) -> Column:
         return F.when(cat.isin(*names.split()), c)
@@ -116,10 +118,10 @@ def project(alerts: DataFrame, v6: bool = True) -> DataFrame:
         "user.id": user_id,
         "user.domain": F.coalesce(user["domain"], back["domain"]),
         "destination.ip": dst,
-        "destination.port": on("Network", C.whole_number(F.col("DestinationPort"), port).cast("int")),
+        "destination.port": on("Network", C.whole_number(F.col("DestinationPort"), PORT).cast("int")),
         "destination.domain": on("Network Wmi", F.col("DestinationHostname")),
         "source.ip": src,
-        "source.port": on("Network", C.whole_number(F.col("SourcePort"), port).cast("int")),
+        "source.port": on("Network", C.whole_number(F.col("SourcePort"), most_source_port).cast("int")),
         "network.transport": on("Network", F.when(F.col("opcode") == 12, "tcp").when(F.col("opcode") == 15, "udp")),
         "network.type": F.when(C.is_ipv4(net), "ipv4").otherwise(six),
         "network.protocol": on("Dns", F.lit("dns")),
