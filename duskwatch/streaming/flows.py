@@ -15,6 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.enrich import CONNECTION, GRAVE_SECONDS
 from ..sources.shared import shared_path
 
+#: Rows of a slice of a replay, about.
+SLICE_ROWS = 1_000_000
+
 
 def with_snapshot(starts: DataFrame, snapshot: DataFrame, at: int) -> DataFrame:
     """Process starts with those already running when collection began, as if they had started at `at`."""
@@ -54,13 +57,34 @@ def process_state(stream: DataFrame, grave: int = GRAVE_SECONDS) -> DataFrame:
     return stream.groupBy("pid").applyInPandasWithState(walk, "seq long, pid long, proc_Image string", "image string, begun long, stopped long", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, table: DataFrame, flow: Callable[[DataFrame], DataFrame], order: str = "seq") -> DataFrame:
-    """What a stream over `table` gives, all of it read as it is: the table is written once, streamed with `availableNow`, and the result read back."""
+def replay(spark: SparkSession, table: DataFrame, flow: Callable[[DataFrame], DataFrame], order: str | None = "seq") -> DataFrame:
+    """What a stream over `table` gives, all of it read as it is: the table is written once, streamed, and the result read back.
+
+    With an `order` it is cut into slices of about `SLICE_ROWS` rows, each a sorted file that arrives when those before it are done and is read by one
+    task: the flow meets all rows in order and holds one slice at a time.  Without one, for flows that look at each row by itself, files of any number
+    and order are one batch."""
     at = shared_path(spark, "replay")
-    table.repartitionByRange(1, order).sortWithinPartitions(order).write.parquet(f"{at}/in") if order in table.columns else table.write.parquet(f"{at}/in")
+    if order is None:
+        table.write.parquet(f"{at}/in")
+    else:
+        slices = max(1, -(-table.count() // SLICE_ROWS))
+        table.repartitionByRange(slices, order).sortWithinPartitions(order).write.parquet(f"{at}/slices")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{at}/in"))
     stream = spark.readStream.schema(table.schema).parquet(f"{at}/in")
-    q = flow(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
-
-
+    out = flow(stream if order is None else stream.coalesce(1))
+    sink = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    if order is None:
+        sink.trigger(availableNow=True).start().awaitTermination()
+    else:
+        q = sink.start()
+        try:
+            names = [f.getPath().getName() for f in fs.listStatus(path(f"{at}/slices"))]
+            for name in sorted((n for n in names if n.startswith("part-")), key=lambda n: int(n.split("-")[1])):
+                if not fs.rename(path(f"{at}/slices/{name}"), path(f"{at}/in/{name}")):
+                    raise OSError(f"{name} cannot be moved")
+                q.processAllAvailable()
+        finally:
+            q.stop()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
