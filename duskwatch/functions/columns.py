@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import string
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `c`, which is evaluated once a row however often the body names it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def any_of(cs: list[Column]) -> Column:
     return _fold(cs, False)
 

@@ -29,46 +29,54 @@ def cut(c: Column) -> Column:
 
 
 def details(r: Compiled, full: bool) -> Column:
-    """The explanation of one rule, for events that it matches."""
+    """The explanation of one rule, for events that it matches.  Results of selections and lists of matches are bound: each is evaluated once a row."""
     resolve, values = visible(r.bucket[0])
     names = [*ALWAYS, *FIELDS[r.bucket[0]]]
-    got = r.results(resolve, values)
+    found = r.results(resolve, values)
+    keys = sorted(found)
     shown = lambda c: cut(c) if full and c is not None else F.lit(None).cast("string")
-    text = F.lit(False)
-    fields, words = [], []
-    for key in sorted(r.selections):
-        s = r.selections[key]
-        for p in s.keywords:
-            kind, told, _ = p.describe()
-            told, long = cut_text(told)
-            for name, v in zip(names, values, strict=True):
-                hit = got[key] & C.true(v.isNotNull()) & p.test(v, lambda _: None)
-                text = text | (hit & (F.lit(long) | (C.true(F.length(v) > MOST_TEXT) if full else F.lit(False))))
-                words.append(F.when(hit, F.struct(F.lit(key).alias("selection"), F.lit(kind).alias("pattern_type"), F.lit(told).alias("keyword"), F.lit(name).alias("field"), shown(v).alias("value"))))
-        for group in s.groups:
-            whole = got[key] & C.all_of([c.test(resolve) for c in group])
-            for c in group:
-                v = resolve(c.field)
-                for p in c.patterns:
-                    here = F.lit(p.kind == "null") if v is None else F.when(v.isNull(), F.lit(p.kind == "null")).otherwise(p.test(v, resolve))
-                    kind, told, cased = p.describe()
-                    told, long = cut_text(told)
-                    hit = whole & here
-                    text = text | (hit & (F.lit(long) | (C.true(F.length(v) > MOST_TEXT) if full and v is not None else F.lit(False))))
-                    fields.append(F.when(hit, F.struct(F.lit(key).alias("selection"), F.lit(c.field).alias("field"), F.lit("all" if c.every else "any").alias("matcher"), F.lit(kind).alias("pattern_type"), F.lit(told).alias("pattern"), F.lit(cased).cast("boolean").alias("case_sensitive"), shown(v).alias("value"))))
-    some = lambda xs, kind: F.array_compact(F.array(*xs)).cast(f"array<{kind}>") if xs else F.array().cast(f"array<{kind}>")
-    f, w = some(fields, FIELD), some(words, WORD)
-    condition, long = cut_text(r.rule.condition) if r.rule.condition is not None else (None, False)
-    f0, w0 = f[0], w[0]
-    value = lambda x: F.when(x["value"].isNotNull(), F.concat(F.lit(" with value '"), x["value"], F.lit("'"))).otherwise(F.lit(""))
-    one = F.when(F.size(f) > 0, F.concat(f0["selection"], F.lit(" matched "), f0["field"], F.lit(" "), f0["pattern_type"], F.lit(" '"), f0["pattern"], F.lit("'"), value(f0))).when(
-        F.size(w) > 0, F.concat(w0["selection"], F.lit(" keyword "), w0["pattern_type"], F.lit(" '"), w0["keyword"], F.lit("' in "), w0["field"], value(w0))
-    )
-    said = F.concat_ws("; ", F.lit(f"condition matched: {condition}") if condition is not None else F.lit(None).cast("string"), one)
-    more = F.lit(long) | text | (F.size(f) > MOST_FIELDS) | (F.size(w) > MOST_KEYWORDS)
-    summary = F.concat(F.when(said == "", F.lit("rule matched")).otherwise(said), F.when(more, F.lit(" (truncated)")).otherwise(F.lit("")))
-    results = F.create_map(*(x for k in sorted(got) for x in (F.lit(k), got[k]))) if got else F.create_map().cast("map<string,boolean>")
-    return F.struct(summary.alias("summary"), F.lit(r.rule.condition).cast("string").alias("condition"), results.alias("selection_results"), F.slice(f, 1, MOST_FIELDS).alias("matches"), F.slice(w, 1, MOST_KEYWORDS).alias("keyword_matches")).cast(DETAILS)
+
+    def lists(got: Column) -> Column:
+        """(f, w): fields and keywords that match; `cut` tells of each whether a text in it is."""
+        fields, words = [], []
+        for k, key in enumerate(keys):
+            s = r.selections[key]
+            for p in s.keywords:
+                kind, told, _ = p.describe()
+                told, long = cut_text(told)
+                for name, v in zip(names, values, strict=True):
+                    hit = got[k] & C.true(v.isNotNull()) & p.test(v, lambda _: None)
+                    over = F.lit(long) | (C.true(F.length(v) > MOST_TEXT) if full else F.lit(False))
+                    words.append(F.when(hit, F.struct(F.lit(key).alias("selection"), F.lit(kind).alias("pattern_type"), F.lit(told).alias("keyword"), F.lit(name).alias("field"), shown(v).alias("value"), over.alias("cut"))))
+            for group in s.groups:
+                whole = got[k] & C.all_of([c.test(resolve) for c in group])
+                for c in group:
+                    v = resolve(c.field)
+                    for p in c.patterns:
+                        here = F.lit(p.kind == "null") if v is None else F.when(v.isNull(), F.lit(p.kind == "null")).otherwise(p.test(v, resolve))
+                        kind, told, cased = p.describe()
+                        told, long = cut_text(told)
+                        over = F.lit(long) | (C.true(F.length(v) > MOST_TEXT) if full and v is not None else F.lit(False))
+                        fields.append(F.when(whole & here, F.struct(F.lit(key).alias("selection"), F.lit(c.field).alias("field"), F.lit("all" if c.every else "any").alias("matcher"), F.lit(kind).alias("pattern_type"), F.lit(told).alias("pattern"), F.lit(cased).cast("boolean").alias("case_sensitive"), shown(v).alias("value"), over.alias("cut"))))
+        some = lambda xs, kind: F.array_compact(F.array(*xs)).cast(f"array<{kind[:-1]},cut:boolean>>") if xs else F.array().cast(f"array<{kind[:-1]},cut:boolean>>")
+        return F.struct(some(fields, FIELD).alias("f"), some(words, WORD).alias("w"), got.alias("got"))
+
+    def told(b: Column) -> Column:
+        f, w, got = b["f"], b["w"], b["got"]
+        condition, long = cut_text(r.rule.condition) if r.rule.condition is not None else (None, False)
+        f0, w0 = F.get(f, F.lit(0)), F.get(w, F.lit(0))
+        value = lambda x: F.when(x["value"].isNotNull(), F.concat(F.lit(" with value '"), x["value"], F.lit("'"))).otherwise(F.lit(""))
+        one = F.when(F.size(f) > 0, F.concat(f0["selection"], F.lit(" matched "), f0["field"], F.lit(" "), f0["pattern_type"], F.lit(" '"), f0["pattern"], F.lit("'"), value(f0))).when(
+            F.size(w) > 0, F.concat(w0["selection"], F.lit(" keyword "), w0["pattern_type"], F.lit(" '"), w0["keyword"], F.lit("' in "), w0["field"], value(w0))
+        )
+        said = F.concat_ws("; ", F.lit(f"condition matched: {condition}") if condition is not None else F.lit(None).cast("string"), one)
+        more = F.lit(long) | F.exists(f, lambda x: x["cut"]) | F.exists(w, lambda x: x["cut"]) | (F.size(f) > MOST_FIELDS) | (F.size(w) > MOST_KEYWORDS)
+        summary = F.concat(F.when(said == "", F.lit("rule matched")).otherwise(said), F.when(more, F.lit(" (truncated)")).otherwise(F.lit("")))
+        results = F.create_map(*(x for k, key in enumerate(keys) for x in (F.lit(key), got[k]))) if keys else F.create_map().cast("map<string,boolean>")
+        first = lambda xs, most: F.transform(F.slice(xs, 1, most), lambda x: x.dropFields("cut"))
+        return F.struct(summary.alias("summary"), F.lit(r.rule.condition).cast("string").alias("condition"), results.alias("selection_results"), first(f, MOST_FIELDS).alias("matches"), first(w, MOST_KEYWORDS).alias("keyword_matches")).cast(DETAILS)
+
+    return C.let(C.let(F.array(*(found[k] for k in keys)).cast("array<boolean>"), lists), told)
 
 
 def explain(alerts: DataFrame, rules: RuleSet, level: str = "summary") -> DataFrame:
