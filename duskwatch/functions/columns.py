@@ -1,16 +1,13 @@
-"""Column functions that the operators share.  All are built from Spark's own, except IPv6, which goes through Arrow."""
+"""Column functions that the operators share.  All are built from Spark's own."""
 
 from __future__ import annotations
 
 import ipaddress
-import re
 import string
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\A{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}\z"
@@ -101,48 +98,56 @@ def ipv4_number(c: Column) -> Column:
     return F.when(is_ipv4(c), n)
 
 
-def _six(v: str | None) -> ipaddress.IPv6Address | None:
-    try:
-        a = ipaddress.IPv6Address(v)
-    except (ValueError, TypeError):
-        return None
-    return None if a.scope_id else a
+_H = "[0-9A-Fa-f]{1,4}"
+SIX = rf"\A(?:{_H}(?::{_H}){{7}}|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)\z"
 
 
-def _six_text(a: ipaddress.IPv6Address) -> str:
-    m = a.ipv4_mapped
-    return f"::ffff:{m}" if m is not None else str(a)
+def _groups(c: Column) -> Column:
+    """The eight groups of an IPv6 address, lower case and without zeros in front; null for anything else, addresses with a scope included."""
+    tail = F.regexp_extract(c, rf":({OCTET}\.{OCTET}\.{OCTET}\.{OCTET})\z", 1)
+    low = let(ipv4_number(tail), lambda n: F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(65535))))
+    whole = F.when(tail == "", c).otherwise(F.concat(F.substr(c, F.lit(1), F.length(c) - F.length(tail)), low))
 
+    def groups(v: Column) -> Column:
+        part = lambda k: F.filter(F.split(F.coalesce(F.get(F.split(v, "::"), F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+        bare = F.transform(part(0), lambda g: F.regexp_replace(F.lower(g), r"\A0+(?=.)", "")), F.transform(part(1), lambda g: F.regexp_replace(F.lower(g), r"\A0+(?=.)", ""))
+        filled = let(F.struct(bare[0].alias("a"), bare[1].alias("b")), lambda s: F.when(F.size(s["a"]) + F.size(s["b"]) <= 7, F.concat(s["a"], F.array_repeat(F.lit("0"), 8 - F.size(s["a"]) - F.size(s["b"])), s["b"])))
+        return F.when(v.rlike(SIX), F.when(F.contains(v, F.lit("::")), filled).otherwise(bare[0]))
 
-@F.pandas_udf(T.StringType())
-def _ipv6_text(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if (a := _six(v)) is None else _six_text(a))
+    return let(whole, groups)
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_bits(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if (a := _six(v)) is None else f"{int(a):0128b}")
+def _six_text(g: Column) -> Column:
+    """Groups as canonical text: the first longest run of zeros left out, if there are two or more; IPv4 at the end of a mapped address."""
+    half = lambda k: F.conv(g[k], 16, 10).cast("long")
+    mapped = F.concat(F.lit("::ffff:"), ipv4_text(half(6) * 65536 + half(7)))
 
+    def shorten(t: Column) -> Column:
+        out = F.substr(t, F.lit(2), F.length(t) - 2)
+        for n in range(2, 9):
+            run = ":0" * n + ":"
+            at = F.instr(t, run)
+            cut = F.concat(F.substr(t, F.lit(2), F.greatest(at - 2, F.lit(0))), F.lit("::"), F.regexp_replace(F.substr(t, at + len(run)), r":\z", ""))
+            out = F.when(at > 0, cut).otherwise(out)
+        return out
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _ipv6_runs(s: pd.Series) -> pd.Series:
-    def some(v: str | None) -> list[str]:
-        found = (_six(t) for t in re.findall(r"[0-9A-Fa-f.:]+", v or "") if t.count(":") > 1)
-        return [_six_text(a) for a in found if a is not None]
+    return F.when(F.array_join(F.slice(g, 1, 6), ":") == "0:0:0:0:0:ffff", mapped).otherwise(let(F.concat(F.lit(":"), F.array_join(g, ":"), F.lit(":")), shorten))
 
-    return s.map(some)
+
+def ipv6_text(c: Column) -> Column:
+    """The canonical text of an IPv6 address; null for anything else."""
+    return F.when(F.contains(c, F.lit(":")), let(c, lambda v: let(_groups(v), lambda g: F.when(g.isNotNull(), _six_text(g)))))
 
 
 def ipv6_bits(c: Column) -> Column:
     """An IPv6 address as 128 binary digits; null for anything else.  Its network of n bits is the first n."""
-    return F.when(F.contains(c, F.lit(":")), _ipv6_bits(F.when(F.contains(c, F.lit(":")), c)))
+    return F.when(F.contains(c, F.lit(":")), let(c, lambda v: let(_groups(v), lambda g: F.when(g.isNotNull(), F.array_join(F.transform(g, lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")), "")))))
 
 
 def ip_text(c: Column, v6: bool = True) -> Column:
-    """The canonical text of an address; null for anything else.  IPv6 is parsed outside the JVM, and only where there is a colon."""
-    if not v6:
-        return F.when(is_ipv4(c), c)
-    return F.when(is_ipv4(c), c).when(F.contains(c, F.lit(":")), _ipv6_text(F.when(F.contains(c, F.lit(":")), c)))
+    """The canonical text of an address; null for anything else."""
+    four = F.when(is_ipv4(c), c)
+    return F.coalesce(four, ipv6_text(c)) if v6 else four
 
 
 def in_network(c: Column, network: str) -> Column:
@@ -153,17 +158,8 @@ def in_network(c: Column, network: str) -> Column:
         lo = int(net.network_address)
         return true((n >= lo) & (n <= lo + net.num_addresses - 1))
 
-    @F.pandas_udf(T.BooleanType())
-    def inside(s: pd.Series) -> pd.Series:
-        def one(v: str | None) -> bool:
-            try:
-                return v is not None and ipaddress.IPv6Address(v) in net
-            except ValueError:
-                return False
-
-        return s.map(one).astype(bool)
-
-    return true(F.when(F.contains(c, F.lit(":")), inside(F.when(F.contains(c, F.lit(":")), c))))
+    bits = f"{int(net.network_address):0128b}"[: net.prefixlen]
+    return true(F.startswith(ipv6_bits(F.regexp_replace(c, r"%[^%/]+\z", "")), F.lit(bits)))
 
 
 def address_runs(c: Column) -> Column:
@@ -172,10 +168,10 @@ def address_runs(c: Column) -> Column:
 
 
 def addresses(c: Column) -> Column:
-    """Addresses in a text in their canonical form, sorted, each once.  IPv6 is parsed outside the JVM, and only where there are two colons."""
+    """Addresses in a text in their canonical form, sorted, each once."""
     four = F.filter(address_runs(c), lambda t: t.rlike(IPV4))
     maybe = true(c.rlike(":[^:]*:"))
-    six = F.when(maybe, _ipv6_runs(F.when(maybe, c)))
+    six = F.when(maybe, F.array_compact(F.transform(F.filter(address_runs(c), lambda t: t.rlike(":[^:]*:")), ipv6_text)))
     return F.array_sort(F.array_distinct(F.concat(four, F.coalesce(six, F.array().cast("array<string>")))))
 
 
